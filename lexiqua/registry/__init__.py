@@ -6,7 +6,7 @@ from .base import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import corpus, text  # noqa: F401
+    from . import corpus, tables, text  # noqa: F401
 
 
 def queries() -> dict:
