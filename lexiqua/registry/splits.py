@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling
-from ..plans.staging import spread
+from ..plans.staging import fresh_path, spread
+from ..sources.files import write_json_lines
 from ..sources.requests import tuning_messages
 from .base import documents, query, sql_key, sql_number, table
 from .tables import SQL_NEAR
@@ -71,12 +72,15 @@ SELECT 'total' AS mode, doc_id, '{SYSTEM_PROMPT}' AS system, text AS user_prompt
 UNION ALL SELECT 'per_class', doc_id, '{SYSTEM_PROMPT}', text, lang FROM r WHERE r <= 25""",
 )
 def finetune_export(spark, sf_dir):
-    """Both readings of the sample size; the JSON lines are written and read back in tests."""
+    """Both readings of the sample size, written as JSON lines and read back."""
     d = documents(spark, sf_dir).select("doc_id", "text", "lang")
     samples = sampling.stratified_sample(d, "doc_id", "lang", 100).withColumn("mode", F.lit("total")).unionByName(
         sampling.class_sample(d, "doc_id", "lang", 25).withColumn("mode", F.lit("per_class"))
     )
     m = tuning_messages(samples, "text", "lang", SYSTEM_PROMPT, keep=["mode", "doc_id"])
+    path = fresh_path(spark, "tuning")
+    write_json_lines(m, path)
+    m = spark.read.schema(m.schema).json(path)
     contents = [F.col("messages")[i]["content"].alias(n) for i, n in enumerate(("system", "user_prompt", "answer"))]
     return m.select("mode", "doc_id", *contents)
 

@@ -34,7 +34,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    # by default the writer would trim blanks at both ends of a text
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_found(spark: SparkSession, root: str, pattern: str, fmt: str = "parquet", schema=None) -> DataFrame:
