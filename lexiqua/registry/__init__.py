@@ -6,7 +6,7 @@ from .base import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import corpus, files, scores, splits, tables, text  # noqa: F401
+    from . import corpus, files, models, scores, splits, tables, text  # noqa: F401
 
 
 def queries() -> dict:
