@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, hash_number
-from ..plans.joins import class_values, lookup_join, numbered_copies, top_k
+from ..plans.joins import class_values, lookup_join, numbered_copies, token_lookup, top_k
 from ..plans.ordering import row_positions
 from ..plans.staging import stage
 from .profile import class_deficits
@@ -160,13 +160,29 @@ def _with_norms(weighted: DataFrame, id_col: str, weights: list[str]) -> DataFra
     return weighted.withColumns({w: F.col(w) / F.sqrt(F.sum(F.col(w) * F.col(w)).over(row)) for w in weights})
 
 
+def _weighted(df: DataFrame, id_col: str, keep: list[str], tokens_col: str, idf: DataFrame, on: list[str], min_length: int) -> DataFrame:
+    """(id, keep, term, tf, idf columns).
+
+    Rows are placed by id once, as compact token lists; counting the terms, a broadcast lookup and
+    the norm over a document then need no further shuffle.
+    """
+    tf = document_terms(df.repartition(id_col), [id_col, *keep], tokens_col).where(F.length("term") >= min_length)
+    return lookup_join(tf, idf, on, salt_by=[id_col])
+
+
+def _document_frequency(df: DataFrame, group: list[str], tokens_col: str, min_length: int) -> DataFrame:
+    """(group, term, df) from each row's distinct tokens; counts combine map-side."""
+    terms = df.select(*group, F.explode(F.array_distinct(tokens_col)).alias("term"))
+    return terms.where(F.length("term") >= min_length).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def tfidf_overall(df: DataFrame, id_col: str, tokens_col: str, min_length: int = 2) -> DataFrame:
     """Mean L2-normalised TF-IDF of every term over all rows: (term, score)."""
-    tf = stage(document_terms(df, [id_col], tokens_col).where(F.length("term") >= min_length), "tf")
     docs = df.count()
-    idf = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
-    weighted = lookup_join(tf, idf, ["term"], salt_by=[id_col]).select(
-        id_col, "term", (F.col("tf") * _idf(F.lit(docs), F.col("df"))).alias("w")
+    frequency = _document_frequency(df, [], tokens_col, min_length)
+    idf = stage(frequency.select("term", _idf(F.lit(docs), F.col("df")).alias("idf")), "idf")
+    weighted = _weighted(df, id_col, [], tokens_col, idf, ["term"], min_length).select(
+        id_col, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
     return _with_norms(weighted, id_col, ["w"]).groupBy("term").agg((F.sum("w") / F.lit(docs)).alias("score"))
 
@@ -184,8 +200,7 @@ def tfidf_by_class(
     if len(sizes) > 1000:
         raise ValueError(f"column {class_col} has more than 1000 distinct values")
     classes, docs = sorted(sizes), sum(sizes.values())
-    tf = stage(document_terms(df, [id_col, class_col], tokens_col).where(F.length("term") >= min_length), "tf")
-    per_class = tf.groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("df"))
+    per_class = _document_frequency(df, [class_col], tokens_col, min_length)
     # at most one row per class meets in a term's window
     frequency = per_class.withColumn("df_all", F.sum("df").over(Window.partitionBy("term")))
     class_size = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(sizes[c]))])
@@ -198,7 +213,7 @@ def tfidf_by_class(
         ),
         "idf",
     )
-    weighted = lookup_join(tf, idf, [class_col, "term"], salt_by=[id_col]).select(
+    weighted = _weighted(df, id_col, [class_col], tokens_col, idf, [class_col, "term"], min_length).select(
         id_col, class_col, "term", (F.col("tf") * F.col("idf")).alias("w"), (F.col("tf") * F.col("idf_all")).alias("w_all")
     )
     sums = _with_norms(weighted, id_col, ["w", "w_all"]).groupBy(class_col, "term").agg(
@@ -230,10 +245,11 @@ def vocabulary(
     """Terms in at least ``no_below`` rows and at most a share ``no_above`` of them, the ``keep`` most
     frequent of those (ties by term)."""
     docs = df.count()
-    distinct = df.select(F.explode(F.array_distinct(tokens_col)).alias("term"))
-    frequency = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = _document_frequency(df, [], tokens_col, 1)
     kept = frequency.where((F.col("df") >= no_below) & (F.col("df") <= no_above * docs))
-    return kept.orderBy(F.col("df").desc(), F.col("term").asc()).limit(keep)
+    # a global top of this size would merge in one task; positions come from range blocks instead
+    placed = row_positions(kept, [], [F.col("df").desc(), F.col("term").asc()], "_pos")
+    return placed.where(F.col("_pos") < keep).drop("_pos")
 
 
 # ---------------------------------------------------------------- language detection
@@ -293,15 +309,14 @@ def detect_language(df: DataFrame, id_col: str, tokens_col: str, profiles: DataF
         ),
         "profile",
     )
-    terms = stage(document_terms(df, [id_col], tokens_col), "terms")
-    words = terms.select("term").distinct()
+    words = df.select(F.explode(tokens_col).alias("term")).distinct()
     names = [f"s_{i}" for i in range(len(languages))]
     scored = lookup_join(_word_grams(words, ["term"]), wide, ["gram"], salt_by=["term"]).groupBy("term").agg(
         *[F.sum(s).alias(s) for s in names], F.count(F.lit(1)).alias("grams")
     )
-    hits = lookup_join(terms, stage(scored, "words"), ["term"], salt_by=[id_col])
+    hits = token_lookup(df, [id_col], tokens_col, stage(scored, "words"), salt_by=[id_col])
     sums = hits.groupBy(id_col).agg(
-        *[(F.sum(F.col(s) * F.col("tf")) / F.sum(F.col("grams") * F.col("tf"))).alias(s) for s in names]
+        *[(F.sum(F.col(s) * F.col("n")) / F.sum(F.col("grams") * F.col("n"))).alias(s) for s in names]
     )
     ranked = sums.withColumn("_scores", F.array(*[F.round(s, 9) for s in names]))
     best = ranked.select(
@@ -333,9 +348,11 @@ def augment_minorities(
     picks = copies.select(
         class_col, "copy", F.pmod(hash_number(F.lit(seed), F.col(class_col), F.col("copy")), F.col("n")).alias("_pos")
     )
-    sources = row_positions(df.select(class_col, F.col(id_col).alias("source_id"), tokens_col), [class_col], [F.col("source_id").asc()], "_pos")
-    chosen = picks.join(sources, [class_col, "_pos"])
-    words = chosen.select(class_col, "copy", "source_id", F.posexplode(tokens_col).alias("i", "token"))
+    # only ids are put in order; the texts join when their copies are known
+    sources = row_positions(df.select(class_col, F.col(id_col).alias("source_id")), [class_col], [F.col("source_id").asc()], "_pos")
+    chosen = picks.join(sources, [class_col, "_pos"]).drop("_pos")
+    texts = df.select(F.col(id_col).alias("source_id"), tokens_col)
+    words = chosen.join(texts, "source_id").select(class_col, "copy", "source_id", F.posexplode(tokens_col).alias("i", "token"))
     dice = F.pmod(hash_number(F.lit(seed), F.col(class_col), F.col("copy"), F.col("i")), F.lit(100))
     replaced = lookup_join(
         words.withColumn("_swap", dice < share), stage(neighbours, "neighbours"), ["token"], salt_by=["copy", "i"], how="left"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LANGUAGE_NAMES
-from ..plans.joins import class_values, lookup_join
+from ..plans.joins import class_values, token_lookup
 
 
 def multi_hot(df: DataFrame, list_col: str, prefix: str, values: list[str] | None = None, limit: int = 1000) -> DataFrame:
@@ -67,15 +67,8 @@ def binarized(df: DataFrame, label_col: str, classes: list) -> DataFrame:
 
 
 def average_term_score(df: DataFrame, id_col: str, tokens_col: str, scores: DataFrame) -> DataFrame:
-    """Mean score of the tokens found in ``scores(term, score)``; repeats count, none gives NULL.
-
-    Tokens collapse to (id, term, n) where they are exploded; the lookup is broadcast if it is
-    small and salted by id otherwise, since common words are hot keys.
-    """
-    terms = df.select(id_col, F.explode(tokens_col).alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    hits = lookup_join(terms, scores.select("term", "score"), ["term"], salt_by=[id_col])
+    """Mean score of the tokens found in ``scores(term, score)``; repeats count, none gives NULL."""
+    hits = token_lookup(df, [id_col], tokens_col, scores.select("term", "score"), salt_by=[id_col])
     means = hits.groupBy(id_col).agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("avg_score"))
     return df.select(id_col).join(means, id_col, "left")
 

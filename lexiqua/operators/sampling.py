@@ -59,12 +59,11 @@ def stratified_sample(df: DataFrame, id_col: str, class_col: str, total: int, se
 
 
 def validation_split(df: DataFrame, id_col: str, class_col: str, sample_size: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(validation, rest): ``sample_size // classes`` rows per class are set aside; the rest is the
-    anti join on the id, so no sampled row can stay in the training part."""
+    """(validation, rest): ``sample_size // classes`` rows per class are set aside.  The rest is the
+    complement of the same flag, so no sampled row can stay in it and no anti join is needed."""
     per_class = sample_size // len(class_values(df, class_col))
-    validation = class_sample(df, id_col, class_col, per_class, seed)
-    rest = df.join(validation.select(id_col), id_col, "left_anti")
-    return validation, rest
+    flagged = flag_by_hash(_keyed(df, id_col, seed), [class_col], "_key", {"_in": lambda n: F.lit(per_class)}).drop("_key")
+    return flagged.where("_in").drop("_in"), flagged.where(~F.col("_in")).drop("_in")
 
 
 def sample_flags(df: DataFrame, sample: DataFrame, id_col: str, flag: str = "ft") -> DataFrame:
@@ -83,37 +82,34 @@ def smote_balanced(
     Columns: id (NULL for new rows), class, vector, flag.
     """
     members = stage(
-        row_positions(
-            df.select(F.col(class_col).alias("_class"), F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")),
-            ["_class"],
-            [F.col("_id").asc()],
-            "_pos",
-        ),
+        df.select(F.col(class_col).alias("_class"), F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")),
         "members",
     )
-    deficits = stage(class_deficits(members, "_class"), "deficits")
-    copies = numbered_copies(deficits, "deficit", "_copy")
-    picks = stage(
-        copies.select(
-            "_class",
-            "_copy",
-            F.pmod(hash_number(F.lit(seed), F.lit("row"), F.col("_class"), F.col("_copy")), F.col("n")).alias("_pos"),
-            hash_number(F.lit(seed), F.lit("mate"), F.col("_class"), F.col("_copy")).alias("_mate"),
-            (hash_number(F.lit(seed), F.lit("gap"), F.col("_class"), F.col("_copy")) / F.lit(float(16**15))).alias("_gap"),
-        ),
-        "picks",
+    # only ids are put in order; vectors join when the seeds are known
+    places = stage(row_positions(members.select("_class", "_id"), ["_class"], [F.col("_id").asc()], "_pos"), "places")
+    copies = numbered_copies(stage(class_deficits(members, "_class"), "deficits"), "deficit", "_copy")
+    picks = copies.select(
+        "_class",
+        F.pmod(hash_number(F.lit(seed), F.lit("row"), F.col("_class"), F.col("_copy")), F.col("n")).alias("_pos"),
+        hash_number(F.lit(seed), F.lit("mate"), F.col("_class"), F.col("_copy")).alias("_mate"),
+        (hash_number(F.lit(seed), F.lit("gap"), F.col("_class"), F.col("_copy")) / F.lit(float(16**15))).alias("_gap"),
     )
-    seeds = picks.select("_class", "_pos").distinct().join(members, ["_class", "_pos"]).select("_class", "_id", "_v")
-    near = nearest_in_group(members.select("_class", "_id", "_v"), seeds, "_class", "_id", "_v", k)
-    lists = near.groupBy("_class", "_id").agg(
+    drawn = stage(picks.join(places, ["_class", "_pos"]).drop("_pos"), "drawn")
+    seeds = members.join(drawn.select("_id").distinct(), "_id", "left_semi")
+    near = nearest_in_group(members, seeds, "_class", "_id", "_v", k)
+    lists = near.groupBy("_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", F.col("neighbour_id").alias("id")))).alias("_near")
     )
-    drawn = picks.join(members, ["_class", "_pos"]).join(lists, ["_class", "_id"], "left")
     mate = F.when(
         F.size("_near") > 0, F.get(F.col("_near.id"), F.pmod(F.col("_mate"), F.size("_near")).cast("int"))
     ).otherwise(F.col("_id"))
-    partners = members.select(F.col("_id").alias("_mate_id"), F.col("_v").alias("_w"))
-    mixed = drawn.withColumn("_mate_id", mate).join(partners, "_mate_id")
+    vectors = members.select("_id", "_v")
+    mixed = (
+        drawn.join(lists, "_id", "left")
+        .select("_class", "_id", "_gap", mate.alias("_mate_id"))
+        .join(vectors, "_id")
+        .join(vectors.toDF("_mate_id", "_w"), "_mate_id")
+    )
     point = F.zip_with("_v", "_w", lambda x, y: x + (y - x) * F.col("_gap"))
     new = mixed.select(
         F.lit(None).cast(df.schema[id_col].dataType).alias(id_col),

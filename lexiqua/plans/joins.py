@@ -34,7 +34,7 @@ def lookup_join(
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join a large, possibly skewed ``fact`` to a table with one row per ``on`` key.
+    """Join a large, possibly skewed ``fact`` to a staged table with one row per ``on`` key.
 
     A measured small ``dim`` is broadcast.  A larger one is copied to every salt and joined on
     (key, salt), so that a key holding a third of the facts is spread over ``SALTS`` tasks.
@@ -46,6 +46,19 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def token_lookup(df: DataFrame, keys: list[str], tokens_col: str, dim: DataFrame, salt_by: list[str]) -> DataFrame:
+    """(keys, term, n, dim columns): the tokens of every row found in ``dim(term, ...)``.
+
+    Beside a broadcast ``dim`` the tokens stay where they are exploded (n = 1), and whatever sums
+    them up per row combines map-side.  Otherwise they collapse to counts before they travel.
+    """
+    exploded = df.select(*keys, F.explode(tokens_col).alias("term"))
+    if fits_broadcast(dim):
+        return exploded.join(F.broadcast(dim), "term").withColumn("n", F.lit(1).cast("long"))
+    counts = exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    return lookup_join(counts, dim, ["term"], salt_by, limit=-1)
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every group along a total ``order``.
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import lookup_join
 from .staging import stage
 
 
@@ -65,28 +66,82 @@ def row_positions(df: DataFrame, group: list[str], order: list[Column], name: st
     )
 
 
+SKETCH_ACCURACY = 10_000
+SKETCH_FROM = 100_000
+
+
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group; NULLs are ignored.
 
-    Rows collapse to (group, value, count) first, so ties and hot groups shrink before the sort.
+    A quantile sketch brackets each wanted value between two close ones.  Rows below the bracket
+    are only counted; just the rows inside it (some 1/2500 of a large group) are shuffled and ranked.
+    Groups below ``SKETCH_FROM`` rows are ranked whole.  Should a sketch ever miss, which its error
+    bound excludes, all rows are ranked instead.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(counts, group, [F.col(value).asc()], {"_upto": "_n"}, {"_all": "_n"})
+    keys = group or ["_g"]
+    rows = df.where(F.col(value).isNotNull())
+    rows = rows.select(*group, *([] if group else [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_x"))
+    slack = 2.0 / SKETCH_ACCURACY
+    edges = [e for p in probs.values() for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    size = F.count(F.lit(1))
+    heads = stage(
+        rows.groupBy(*keys).agg(
+            F.percentile_approx("_x", edges, SKETCH_ACCURACY).alias("_e"), size.alias("_all"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
+        ),
+        "sketch",
+    )
+    whole = F.col("_all") < SKETCH_FROM
+    brackets = stage(
+        heads.select(
+            *keys,
+            "_all",
+            *[F.when(whole, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias(f"_lo_{i}") for i in range(len(probs))],
+            *[F.when(whole, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias(f"_hi_{i}") for i in range(len(probs))],
+        ),
+        "brackets",
+    )
+    placed = lookup_join(rows, brackets.drop("_all"), keys, salt_by=["_x"])
+    inside = [(F.col("_x") >= F.col(f"_lo_{i}")) & (F.col("_x") <= F.col(f"_hi_{i}")) for i in range(len(probs))]
+    below = stage(
+        placed.groupBy(*keys).agg(*[F.count(F.when(F.col("_x") < F.col(f"_lo_{i}"), 1)).alias(f"_b_{i}") for i in range(len(probs))]),
+        "below",
+    )
+    hits = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]))
+    near = placed.where(reduce(lambda a, b: a | b, inside)).select(*keys, "_x", F.explode(hits).alias("_p"))
+    counts = near.groupBy(*keys, "_p", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_totals(counts, [*keys, "_p"], [F.col("_x").asc()], {"_upto": "_n"})
+    ranked = cum.join(brackets.select(*keys, "_all").join(below, keys), keys)
+    aggs = []
+    for i, (out, p) in enumerate(probs.items()):
+        at = F.lit(float(p)) * (F.col("_all") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            wanted = rank - F.col(f"_b_{i}")
+            here = (F.col("_p") == i) & (F.col("_upto") - F.col("_n") <= wanted) & (wanted < F.col("_upto"))
+            aggs.append(F.max(F.when(here, F.col("_x"))).alias(f"_{side}_{out}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"_f_{out}"))
+    found = stage(ranked.groupBy(*keys).agg(*aggs), "quantiles")
+    missed = [F.col(f"_{side}_{o}").isNull() for o in probs for side in ("lo", "hi")]
+    if found.where(reduce(lambda a, b: a | b, missed)).limit(1).count():
+        found = _ranked_quantiles(rows, keys, probs)
+    values = [
+        (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o) for o in probs
+    ]
+    # without rows there is no group; an ungrouped call still gives its one row, of NULLs
+    return found.select(*group, *values) if group else found.agg(*[F.max(v).alias(o) for o, v in zip(probs, values)])
+
+
+def _ranked_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """The neighbours of every quantile from a ranking of all distinct values."""
+    counts = rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_totals(counts, keys, [F.col("_x").asc()], {"_upto": "_n"}, {"_all": "_n"})
     aggs = []
     for out, p in probs.items():
         at = F.lit(float(p)) * (F.col("_all") - 1)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             here = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            aggs.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{side}_{out}"))
+            aggs.append(F.max(F.when(here, F.col("_x"))).alias(f"_{side}_{out}"))
         aggs.append(F.max(at - F.floor(at)).alias(f"_f_{out}"))
-    wide = cum.groupBy(*group).agg(*aggs)
-    return wide.select(
-        *group,
-        *[
-            (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o)
-            for o in probs
-        ],
-    )
+    return cum.groupBy(*keys).agg(*aggs)
 
 
 def hash_cuts(df: DataFrame, group: list[str], key: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:

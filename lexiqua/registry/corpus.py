@@ -136,7 +136,8 @@ y AS (SELECT w, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS y FROM x)
 SELECT w AS term, round(sum(y) / any_value(docs), 6) AS score FROM y, n GROUP BY w""",
 )
 def tfidf_overall(spark, sf_dir):
-    scores = corpus.tfidf_overall(tokenized(spark, sf_dir), "doc_id", "tokens")
+    t = stage(tokenized(spark, sf_dir), "tokens")
+    scores = corpus.tfidf_overall(t, "doc_id", "tokens")
     return scores.withColumn("score", F.round("score", 6))
 
 
@@ -157,7 +158,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score_diff DESC,
 SELECT class, term, score, score_all, score_diff, rank::INTEGER AS rank FROM r WHERE rank <= 20""",
 )
 def tfidf_by_class(spark, sf_dir):
-    return corpus.tfidf_by_class(tokenized(spark, sf_dir, "lang"), "doc_id", "tokens", "lang", 20)
+    t = stage(tokenized(spark, sf_dir, "lang"), "tokens")
+    return corpus.tfidf_by_class(t, "doc_id", "tokens", "lang", 20)
 
 
 @query(

@@ -111,7 +111,7 @@ LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 5) + 0.0::DOUBLE AS {c}" for c in LINE_NUMBERS) + " FROM lineitem, s",
 )
 def standard_scaled(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LINE_NUMBERS)
+    li = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", *LINE_NUMBERS)
     scaled = features.standard_scaled(li, LINE_NUMBERS)
     return scaled.withColumns({c: F.round(c, 5) for c in LINE_NUMBERS})
 
@@ -122,7 +122,7 @@ def standard_scaled(spark, sf_dir):
 FROM orders CROSS JOIN (VALUES ('F'), ('O'), ('P')) AS c(class)""",
 )
 def label_binarized(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    o = spread(table(spark, sf_dir, "orders")).select("o_orderkey", "o_orderstatus")
     return features.binarized(o, "o_orderstatus", ["F", "O", "P"]).drop("o_orderstatus")
 
 
@@ -204,7 +204,7 @@ u AS (SELECT category, 'quantile' AS kind, unnest(['p00', 'p25', 'p50', 'p75', '
 SELECT category, kind, key, round(value, 6) AS value FROM (SELECT * FROM b UNION ALL SELECT * FROM u)""",
 )
 def distribution_by_category(spark, sf_dir):
-    d = profile.distribution_by_category(table(spark, sf_dir, "events"), "value", "event_type", 10)
+    d = profile.distribution_by_category(spread(table(spark, sf_dir, "events")), "value", "event_type", 10)
     return d.withColumn("value", F.round("value", 6))
 
 
@@ -220,7 +220,7 @@ UNION ALL SELECT "column", 'histogram', least(floor((x - lo) / (hi - lo) * 10),
   FROM m JOIN e USING ("column", class) GROUP BY ALL""",
 )
 def column_profile(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("weekday", F.col("o_orderkey") % 7)
+    o = spread(table(spark, sf_dir, "orders")).withColumn("weekday", F.col("o_orderkey") % 7)
     return profile.column_profile(
         o.select("o_orderstatus", "o_orderpriority", "o_totalprice", "weekday", "o_custkey"), "o_orderstatus"
     )
@@ -231,7 +231,7 @@ def column_profile(spark, sf_dir):
     "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS \"F\", count(*) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1",
 )
 def crosstab(spark, sf_dir):
-    return profile.crosstab(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+    return profile.crosstab(spread(table(spark, sf_dir, "lineitem")), "l_returnflag", "l_linestatus")
 
 
 @query(
@@ -242,7 +242,7 @@ def crosstab(spark, sf_dir):
     ),
 )
 def correlation_pairs(spark, sf_dir):
-    c = profile.correlation_pairs(table(spark, sf_dir, "lineitem"), LINE_NUMBERS)
+    c = profile.correlation_pairs(spread(table(spark, sf_dir, "lineitem")), LINE_NUMBERS)
     return c.withColumn("corr", F.round("corr", 6))
 
 
@@ -257,8 +257,8 @@ SELECT feature, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS
   max(x) FILTER (inside) AS whisker_high, count(*) FILTER (NOT inside) AS outliers FROM f GROUP BY ALL""",
 )
 def boxplot_stats(spark, sf_dir):
-    lines = profile.boxplot_stats(table(spark, sf_dir, "lineitem"), LINE_NUMBERS)
-    values = profile.boxplot_stats(table(spark, sf_dir, "events"), ["value"])
+    lines = profile.boxplot_stats(spread(table(spark, sf_dir, "lineitem")), LINE_NUMBERS)
+    values = profile.boxplot_stats(spread(table(spark, sf_dir, "events")), ["value"])
     return lines.unionByName(values).withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
@@ -276,7 +276,7 @@ def _sql_bin(x: str, lo: str, hi: str) -> str:
     ),
 )
 def pairwise_bins(spark, sf_dir):
-    return profile.pairwise_bins(table(spark, sf_dir, "lineitem"), LINE_NUMBERS, 10)
+    return profile.pairwise_bins(spread(table(spark, sf_dir, "lineitem")), LINE_NUMBERS, 10)
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -295,7 +295,7 @@ UNION ALL SELECT s.status, 'prediction', l.label, round(count(o.status) / any_va
 )
 def status_label_shares(spark, sf_dir):
     price = F.col("o_totalprice")
-    o = table(spark, sf_dir, "orders").withColumn(
+    o = spread(table(spark, sf_dir, "orders")).withColumn(
         "prediction", F.when(price < 100000, "5-LOW").when(price < 250000, "3-MEDIUM").otherwise("1-URGENT")
     )
     return profile.status_label_shares(o, "o_orderstatus", "o_orderpriority", "prediction", ["F", "O", "P", "X"], PRIORITIES)
@@ -327,7 +327,7 @@ def union_tagged(spark, sf_dir):
 # ---------------------------------------------------------------- outliers
 
 def _event_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         "event_id",
         "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
