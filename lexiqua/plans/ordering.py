@@ -68,12 +68,13 @@ def row_positions(df: DataFrame, group: list[str], order: list[Column], name: st
 
 SKETCH_ACCURACY = 10_000
 SKETCH_FROM = 100_000
+RANK_ALL = 5_000_000
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group; NULLs are ignored.
 
-    A quantile sketch brackets each wanted value between two close ones.  Rows below the bracket
+    Up to ``RANK_ALL`` rows are simply ranked.  Beyond, a quantile sketch brackets each wanted value between two close ones.  Rows below the bracket
     are only counted; just the rows inside it (some 1/2500 of a large group) are shuffled and ranked.
     Groups below ``SKETCH_FROM`` rows are ranked whole.  Should a sketch ever miss, which its error
     bound excludes, all rows are ranked instead.
@@ -81,6 +82,16 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     keys = group or ["_g"]
     rows = df.where(F.col(value).isNotNull())
     rows = rows.select(*group, *([] if group else [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_x"))
+    found = _ranked_quantiles(rows, keys, probs) if rows.count() <= RANK_ALL else _bracketed_quantiles(rows, keys, probs)
+    values = [
+        (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o) for o in probs
+    ]
+    # without rows there is no group; an ungrouped call still gives its one row, of NULLs
+    return found.select(*group, *values) if group else found.agg(*[F.max(v).alias(o) for o, v in zip(probs, values)])
+
+
+def _bracketed_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """The neighbours of every quantile from ranking only the rows between two sketched values."""
     slack = 2.0 / SKETCH_ACCURACY
     edges = [e for p in probs.values() for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
     size = F.count(F.lit(1))
@@ -91,14 +102,11 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         "sketch",
     )
     whole = F.col("_all") < SKETCH_FROM
-    brackets = stage(
-        heads.select(
-            *keys,
-            "_all",
-            *[F.when(whole, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias(f"_lo_{i}") for i in range(len(probs))],
-            *[F.when(whole, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias(f"_hi_{i}") for i in range(len(probs))],
-        ),
-        "brackets",
+    brackets = heads.select(
+        *keys,
+        "_all",
+        *[F.when(whole, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias(f"_lo_{i}") for i in range(len(probs))],
+        *[F.when(whole, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias(f"_hi_{i}") for i in range(len(probs))],
     )
     placed = lookup_join(rows, brackets.drop("_all"), keys, salt_by=["_x"])
     inside = [(F.col("_x") >= F.col(f"_lo_{i}")) & (F.col("_x") <= F.col(f"_hi_{i}")) for i in range(len(probs))]
@@ -123,11 +131,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     missed = [F.col(f"_{side}_{o}").isNull() for o in probs for side in ("lo", "hi")]
     if found.where(reduce(lambda a, b: a | b, missed)).limit(1).count():
         found = _ranked_quantiles(rows, keys, probs)
-    values = [
-        (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o) for o in probs
-    ]
-    # without rows there is no group; an ungrouped call still gives its one row, of NULLs
-    return found.select(*group, *values) if group else found.agg(*[F.max(v).alias(o) for o, v in zip(probs, values)])
+    return found
 
 
 def _ranked_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
