@@ -350,17 +350,19 @@ def augment_minorities(
     )
     # only ids are put in order; the texts join when their copies are known
     sources = row_positions(df.select(class_col, F.col(id_col).alias("source_id")), [class_col], [F.col("source_id").asc()], "_pos")
-    chosen = picks.join(sources, [class_col, "_pos"]).drop("_pos")
-    texts = df.select(F.col(id_col).alias("source_id"), tokens_col)
-    words = chosen.join(texts, "source_id").select(class_col, "copy", "source_id", F.posexplode(tokens_col).alias("i", "token"))
-    dice = F.pmod(hash_number(F.lit(seed), F.col(class_col), F.col("copy"), F.col("i")), F.lit(100))
-    replaced = lookup_join(
-        words.withColumn("_swap", dice < share), stage(neighbours, "neighbours"), ["token"], salt_by=["copy", "i"], how="left"
-    ).withColumn("_word", F.when(F.col("_swap"), F.coalesce("neighbour", "token")).otherwise(F.col("token")))
-    # one group is one text
-    texts = replaced.groupBy(class_col, "copy", "source_id").agg(
-        F.array_sort(F.collect_list(F.struct("i", "_word"))).alias("_words")
-    )
-    return texts.select(class_col, "copy", "source_id", F.array_join(F.col("_words._word"), " ").alias("text")).where(
-        F.trim("text") != ""
+    chosen = stage(picks.join(sources, [class_col, "_pos"]).drop("_pos"), "chosen")
+    # every source text meets the neighbours once, however many copies it has; one group is one text
+    used = df.select(F.col(id_col).alias("source_id"), tokens_col).join(chosen.select("source_id").distinct(), "source_id", "left_semi")
+    words = used.select("source_id", F.posexplode(tokens_col).alias("i", "token"))
+    paired = lookup_join(words, stage(neighbours, "neighbours"), ["token"], salt_by=["source_id", "i"], how="left")
+    texts = paired.groupBy("source_id").agg(
+        F.array_sort(F.collect_list(F.struct("i", "token", F.coalesce("neighbour", "token").alias("other")))).alias("_words")
     )
+
+    def word(w: Column) -> Column:
+        dice = F.pmod(hash_number(F.lit(seed), F.col(class_col), F.col("copy"), w["i"]), F.lit(100))
+        return F.when(dice < share, w["other"]).otherwise(w["token"])
+
+    copied = chosen.join(texts, "source_id")
+    text = F.array_join(F.transform("_words", word), " ")
+    return copied.select(class_col, "copy", "source_id", text.alias("text")).where(F.trim("text") != "")
