@@ -80,10 +80,10 @@ def latest_results(results: DataFrame) -> DataFrame:
 def merge_results(df: DataFrame, id_col: str, results: DataFrame, target_col: str) -> tuple[DataFrame, DataFrame]:
     """(table with ``target_col`` filled by id, rejects).  Rejects are unreadable lines and ids that the
     table does not hold; unlike a positional write-back, an unknown id adds no row."""
-    latest = latest_results(results).withColumnRenamed("content", target_col)
-    merged = df.join(latest, df[id_col] == latest["id"], "left").drop("id")
-    unmatched = latest.join(df.select(F.col(id_col).alias("id")), "id", "left_anti").select(
-        "id", F.lit("unknown id").alias("reason")
-    )
+    latest = latest_results(results)
+    answers = latest.select(F.col("id").alias("_result_id"), F.col("content").alias(target_col))
+    merged = df.join(answers, F.col(id_col) == F.col("_result_id"), "left").drop("_result_id")
+    known = df.select(F.col(id_col).cast("long").alias("id"))
+    unmatched = latest.join(known, "id", "left_anti").select("id", F.lit("unknown id").alias("reason"))
     bad = results.where(F.col("reason").isNotNull()).select("id", "reason")
     return merged, bad.unionByName(unmatched)
