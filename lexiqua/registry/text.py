@@ -166,7 +166,24 @@ def cttr(spark, sf_dir):
     return tokenized(spark, sf_dir).select("doc_id", F.round(X.root_ttr(F.col("tokens")), 6).alias("cttr"))
 
 
-@query("mtld")
+def _sql_mtld(tokens: str) -> str:
+    """Fold of the token list: finished factors f, length n and types s of the running one."""
+    seen = "CASE WHEN list_contains(a.s, x.s[1]) THEN a.s ELSE list_append(a.s, x.s[1]) END"
+    step = f"""CASE WHEN a.n + 1 >= 10 AND len({seen}) / (a.n + 1) < 0.72::DOUBLE THEN {{'f': a.f + 1, 'n': 0::BIGINT, 's': []::VARCHAR[]}}
+      ELSE {{'f': a.f, 'n': a.n + 1, 's': {seen}}} END"""
+    items = f"list_transform({tokens}, lambda w: {{'f': 0::DOUBLE, 'n': 0::BIGINT, 's': [w]}})"
+    return f"list_reduce({items}, lambda a, x: {step}, {{'f': 0::DOUBLE, 'n': 0::BIGINT, 's': []::VARCHAR[]}})"
+
+
+_SQL_FACTORS = "{r}.f + CASE WHEN {r}.n > 0 THEN (1 - len({r}.s) / {r}.n) / (1 - 0.72::DOUBLE) ELSE 0 END"
+
+
+@query(
+    "mtld",
+    f"""WITH {SQL_TOK}, r AS (SELECT doc_id, len(tokens) AS n, {_sql_mtld('tokens')} AS a, {_sql_mtld('list_reverse(tokens)')} AS b FROM tok),
+f AS (SELECT doc_id, n, {_SQL_FACTORS.format(r='a')} AS fa, {_SQL_FACTORS.format(r='b')} AS fb FROM r)
+SELECT doc_id, round((CASE WHEN fa > 0 THEN n / fa ELSE 0 END + CASE WHEN fb > 0 THEN n / fb ELSE 0 END) / 2, 6) AS mtld FROM f""",
+)
 def mtld(spark, sf_dir):
     return tokenized(spark, sf_dir).select("doc_id", F.round(X.mtld(F.col("tokens")), 6).alias("mtld"))
 
