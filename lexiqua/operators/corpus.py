@@ -25,7 +25,7 @@ def term_counts(df: DataFrame, tokens_col: str, term: str = "term", n: str = "n"
 
 
 def document_terms(df: DataFrame, keys: list[str], tokens_col: str) -> DataFrame:
-    """(keys, term, tf): the long bag-of-words table; repeats combine before the shuffle."""
+    """(keys, term, tf): the long bag-of-words table; repeats combine before any shuffle."""
     exploded = df.select(*keys, F.explode(tokens_col).alias("term"))
     return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -22,14 +22,15 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, hash_key, hash_number, predict_with_thresholds
 from ..plans.joins import class_values
+from ..plans.neighbours import nearest_in_group
 from ..plans.ordering import row_positions
 from ..plans.staging import stage
 from . import evaluation as E
@@ -116,8 +117,6 @@ def sweeps(predictions: DataFrame, training: Training) -> DataFrame:
 
 def importance_table(model: Model, features: list[str], name: str = "model") -> DataFrame:
     """(model, feature, importance), zeros where the model has none."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.getActiveSession()
     values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else np.zeros(len(features))
     rows = [(name, f, float(v)) for f, v in zip(features, values)]
@@ -201,41 +200,49 @@ class Boosted:
     alphas: list[float]
     classes: int
 
-    def scores(self, rows: DataFrame) -> DataFrame:
-        """``rows`` plus prediction and normalised vote shares; one pass for all trees."""
-        out, keep = rows, rows.columns
+    def votes(self, rows: DataFrame) -> DataFrame:
+        """``rows`` plus one prediction column per tree: a narrow pass, however many trees."""
         for i, m in enumerate(self.models):
             m.setPredictionCol(f"_p{i}").setRawPredictionCol("").setProbabilityCol("")
-            out = m.transform(out)
+            rows = m.transform(rows)
+        return rows
+
+    def weight(self) -> Column:
+        """Weight of a row with votes: every miss multiplies it by exp(alpha)."""
+        missed = [F.when(F.col(f"_p{i}") != F.col("label"), F.lit(a)).otherwise(F.lit(0.0)) for i, a in enumerate(self.alphas)]
+        return F.exp(reduce(lambda x, y: x + y, missed, F.lit(0.0)))
+
+    def scores(self, rows: DataFrame) -> DataFrame:
+        """``rows`` plus prediction and normalised vote shares."""
         total = float(sum(self.alphas)) or 1.0
-        votes = []
+        shares = []
         for c in range(self.classes):
             mine = [F.when(F.col(f"_p{i}") == float(c), F.lit(a)).otherwise(F.lit(0.0)) for i, a in enumerate(self.alphas)]
-            votes.append(reduce(lambda x, y: x + y, mine) / F.lit(total))
-        shares = out.select(*keep, F.array(*votes).alias("scores"))
-        return shares.withColumn("prediction", argmax(F.col("scores")).cast("double"))
+            shares.append(reduce(lambda x, y: x + y, mine, F.lit(0.0)) / F.lit(total))
+        scored_rows = self.votes(rows).select(*rows.columns, F.array(*shares).alias("scores"))
+        return scored_rows.withColumn("prediction", argmax(F.col("scores")).cast("double"))
 
 
 def fit_adaboost(training: Training, rounds: int = 10, max_depth: int = 1, seed: int = SEED) -> Boosted:
-    """Multi-class AdaBoost (Zhu et al. 2009).  Each round fits a weighted tree and multiplies the
-    weights of the rows it misses; the reweighted table is staged so the lineage stays short."""
+    """Multi-class AdaBoost (Zhu et al. 2009).  Each round fits a tree on rows weighted by the misses
+    of the trees before.  A weight follows from those trees' votes on the staged row, so no round
+    writes a reweighted table and the lineage never grows beyond one scan."""
     k = len(training.classes)
-    rows = training.part("train").withColumn("weight", F.lit(1.0))
-    models, alphas = [], []
+    boosted = Boosted([], [], k)
+    train = training.part("train")
     for i in range(rounds):
+        rows = boosted.votes(train).withColumn("weight", boosted.weight()).select("label", "features", "weight")
         model = DecisionTreeClassifier(weightCol="weight", maxDepth=max_depth, seed=seed + i).fit(rows)
-        missed = model.transform(rows).withColumn("miss", (F.col("prediction") != F.col("label")).cast("double"))
-        sums = missed.agg(F.sum(F.col("miss") * F.col("weight")).alias("bad"), F.sum("weight").alias("all")).first()
+        miss = (F.col("prediction") != F.col("label")).cast("double")
+        sums = model.transform(rows).agg(F.sum(miss * F.col("weight")).alias("bad"), F.sum("weight").alias("all")).first()
         error = sums["bad"] / sums["all"]
         if error >= 1 - 1 / k:
             break
-        models.append(model)
-        alphas.append(float(np.log((1 - error) / max(error, 1e-10)) + np.log(k - 1)))
+        boosted.models.append(model)
+        boosted.alphas.append(float(np.log((1 - error) / max(error, 1e-10)) + np.log(k - 1)))
         if error <= 0:
             break
-        rescaled = F.col("weight") * F.exp(F.lit(alphas[-1]) * F.col("miss")) * F.lit(1.0 / sums["all"])
-        rows = stage(missed.select("id", "label", "features", "split", rescaled.alias("weight")), "weights")
-    return Boosted(models, alphas, k)
+    return boosted
 
 
 # ---------------------------------------------------------------- support vector machines
@@ -337,13 +344,17 @@ def permutation_importance(
     numbered once, all repeats and features are scored by one job, and only the paired row's value
     replaces the shuffled entry.
     """
-    x = vector_to_array("features")
-    base = rows.select("id", "label", x.alias("x"))
-    numbered = row_positions(base, [], [F.col("id").asc()], "place")
-    copies = base.select("id", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    keyed = copies.withColumn("key", hash_key(F.lit(seed), F.col("repeat"), F.col("id")))
-    shuffled = row_positions(keyed.drop("id"), ["repeat"], [F.col("key").asc()], "place").select("repeat", "place", "y")
-    pairs = numbered.join(shuffled, "place")
+    # only ids are put in order; feature values join when the pairs are known
+    base = rows.select("id", "label", vector_to_array("features").alias("x"))
+    places = row_positions(base.select("id"), [], [F.col("id").asc()], "place")
+    keyed = base.select("id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn(
+        "key", hash_key(F.lit(seed), F.col("repeat"), F.col("id"))
+    )
+    shuffled = row_positions(keyed, ["repeat"], [F.col("key").asc()], "place").select(
+        "repeat", "place", F.col("id").alias("partner")
+    )
+    partners = base.select(F.col("id").alias("partner"), F.col("x").alias("y"))
+    pairs = places.join(shuffled, "place").join(base, "id").join(partners, "partner")
     mixed = pairs.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).select(
         "repeat",
         "feature",
@@ -419,10 +430,6 @@ def fit_topics(
 
 def word_neighbours(df: DataFrame, tokens_col: str, dims: int = 32, min_count: int = 5, seed: int = 42) -> DataFrame:
     """(token, neighbour): closest other word by Word2Vec cosine, for the augmentation."""
-    from pyspark.ml.feature import Word2Vec
-
-    from ..plans.neighbours import nearest_in_group
-
     model = Word2Vec(inputCol=tokens_col, outputCol="v", vectorSize=dims, minCount=min_count, seed=seed).fit(df)
     v = vector_to_array("vector")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.joins import class_values, top_k
+from ..plans.joins import class_values, lookup_join, top_k
 from ..plans.ordering import exact_quantiles
+from ..plans.staging import stage
 
 ALL = "all"
 
@@ -86,9 +87,9 @@ def score_histogram(df: DataFrame, class_col: str, value_col: str, bins: int = 2
 
 
 def histogram(df: DataFrame, group: list[str], value_col: str, bins: int) -> DataFrame:
-    """(group, bin, n, lo, hi) with per-group ranges; groups are classes, so the ranges are broadcast."""
-    edges = df.groupBy(*group).agg(F.min(value_col).alias("lo"), F.max(value_col).alias("hi"))
-    binned = df.join(F.broadcast(edges), group).withColumn(
+    """(group, bin, n, lo, hi) with per-group ranges."""
+    edges = stage(df.groupBy(*group).agg(F.min(value_col).alias("lo"), F.max(value_col).alias("hi")), "ranges")
+    binned = lookup_join(df, edges, group, salt_by=[value_col]).withColumn(
         "bin", bin_index(F.col(value_col), F.col("lo"), F.col("hi"), bins)
     )
     return binned.groupBy(*group, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
@@ -234,8 +235,6 @@ def status_label_shares(
 
 def class_deficits(df: DataFrame, class_col: str) -> DataFrame:
     """Rows per class and how many each lacks to reach the largest class."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
     # one row per class reaches this window
     peak = F.max("n").over(Window.partitionBy(F.lit(0)))

@@ -26,6 +26,12 @@ def fits_broadcast(dim: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (size or 0) <= limit
 
 
+def small_side(dim: DataFrame) -> DataFrame:
+    """``dim``, marked for broadcast if it is measured small; otherwise the join shuffles, and
+    adaptive execution splits hot keys."""
+    return F.broadcast(dim) if fits_broadcast(dim) else dim
+
+
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,

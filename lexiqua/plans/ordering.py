@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import lookup_join
+from .joins import lookup_join, small_side
 from .staging import stage
 
 
@@ -179,7 +179,8 @@ def hash_cuts(df: DataFrame, group: list[str], key: str, wanted: dict[str, Calla
     )
     # one row per group and cut: as many as there are classes
     keys = [*group, "_pre"]
-    border = prefixed.alias("p").join(F.broadcast(targets.alias("t")), _null_safe("p", "t", keys)).select(
+    targets = small_side(stage(targets, "targets"))
+    border = prefixed.alias("p").join(targets.alias("t"), _null_safe("p", "t", keys)).select(
         *[F.col(f"p.{c}") for c in keys], F.col(f"p.{key}").alias(key), "_name", "_need"
     )
     nth = F.row_number().over(Window.partitionBy(*keys, "_name").orderBy(key))
@@ -191,8 +192,8 @@ def flag_by_hash(
     df: DataFrame, group: list[str], key: str, wanted: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
     """Boolean column per cut: the row is among the group's first ``wanted`` rows by ``key``."""
-    cuts = hash_cuts(df, group, key, wanted)
-    renamed = cuts.select(*group, *[F.col(n).alias(f"_cut_{n}") for n in wanted])
-    joined = df.alias("d").join(F.broadcast(renamed.alias("c")), _null_safe("d", "c", group), "left")
+    cuts = stage(hash_cuts(df, group, key, wanted), "cuts")
+    renamed = small_side(cuts.select(*group, *[F.col(n).alias(f"_cut_{n}") for n in wanted]))
+    joined = df.alias("d").join(renamed.alias("c"), _null_safe("d", "c", group), "left")
     flags = [F.coalesce(F.col(key) <= F.col(f"_cut_{n}"), F.lit(False)).alias(n) for n in wanted]
     return joined.select(*[F.col(f"d.{c}") for c in df.columns], *flags)

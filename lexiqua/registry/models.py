@@ -19,14 +19,15 @@ TEXT_FEATURES = ["n_chars", "n_tokens", "root_ttr", "digits", "capitals", "lines
 
 
 def text_numbers(spark, sf_dir):
-    """Numeric features of the labelled documents and their quality."""
-    d = labelled(spark, sf_dir, documents(spark, sf_dir))
+    """Numeric features of the labelled documents and their quality.
+
+    The numbers are taken before the join, so no text is shuffled.
+    """
     words = X.tokens(F.col("text"))
     size = F.greatest(F.length("text"), F.lit(1))
-    measured = d.select("doc_id", "quality", "n_chars", "text", words.alias("tokens"))
-    return measured.select(
+    measured = documents(spark, sf_dir).select("doc_id", "n_chars", "text", words.alias("tokens"))
+    numbers = measured.select(
         "doc_id",
-        "quality",
         "n_chars",
         F.size("tokens").alias("n_tokens"),
         X.root_ttr(F.col("tokens")).alias("root_ttr"),
@@ -34,6 +35,7 @@ def text_numbers(spark, sf_dir):
         (F.regexp_count("text", F.lit("[A-Z]")) / size).alias("capitals"),
         F.regexp_count("text", F.lit("\n")).alias("lines"),
     )
+    return labelled(spark, sf_dir, numbers).drop("toxic")
 
 
 def _text_training(spark, sf_dir, split="stratified"):

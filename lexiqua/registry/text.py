@@ -331,7 +331,8 @@ SELECT d.doc_id, round(v, 6) AS avg_score FROM documents d LEFT JOIN m USING (do
 def avg_term_score(spark, sf_dir, min_docs: int = 5):
     """Terms score the share of good-quality labelled documents that hold them."""
     t = stage(tokenized(spark, sf_dir), "tokens")
-    held = labelled(spark, sf_dir, t.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")))
+    # the join carries one row per document; terms are exploded after it
+    held = labelled(spark, sf_dir, t).select("quality", F.explode(F.array_distinct("tokens")).alias("term"))
     scores = held.groupBy("term").agg(F.avg("quality").alias("score"), F.count(F.lit(1)).alias("n"))
     scores = stage(scores.where(F.col("n") >= min_docs).select("term", "score"), "scores")
     return features.average_term_score(t, "doc_id", "tokens", scores).withColumn("avg_score", F.round("avg_score", 6))
