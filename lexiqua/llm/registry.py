@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, secrets
+from . import bpe, chat, decontam, lines, neardup, pii, quality, secrets, shards, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.read_back(chat.conversations(turns)))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -30,10 +39,32 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.kd_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_secrets": op2_secrets,
-    "op3_pii": op3_pii,
-    "op5_quality": op5_quality,
-    "op6_bpe": op6_bpe,
+    f.__name__: f
+    for f in (
+        op1_chat, op2_secrets, op3_pii, op4_decontaminate, op5_quality, op6_bpe, op7_shards, op8_lines, op9_near_duplicates, op10_warc,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_chat": chat.SQL,
+    "op4_decontaminate": decontam.SQL,
+    "op8_lines": lines.SQL,
+    "op9_near_duplicates": neardup.SQL,
+    "op10_warc": warc.SQL,
 }
-ORACLES: dict[str, str] = {}
