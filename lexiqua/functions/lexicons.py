@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from functools import lru_cache
+from importlib.resources import files
 
-import pyspark
+from pyspark.ml.feature import StopWordsRemover
 
-# Language code -> name of its stop-word list.
+# Language code -> name of the stop-word list that Spark ships.
 STOP_WORD_LISTS = {
-    'ar': 'arabic', 'az': 'azerbaijani', 'bn': 'bengali', 'ca': 'catalan', 'da': 'danish',
-    'nl': 'dutch', 'en': 'english', 'fi': 'finnish', 'fr': 'french', 'de': 'german',
-    'el': 'greek', 'he': 'hebrew', 'hu': 'hungarian', 'id': 'indonesian', 'it': 'italian',
-    'kk': 'kazakh', 'ne': 'nepali', 'no': 'norwegian', 'pt': 'portuguese', 'ro': 'romanian',
-    'ru': 'russian', 'sl': 'slovene', 'es': 'spanish', 'sv': 'swedish', 'tg': 'tajik',
-    'tr': 'turkish',
+    'da': 'danish', 'nl': 'dutch', 'en': 'english', 'fi': 'finnish', 'fr': 'french', 'de': 'german', 'hu': 'hungarian',
+    'it': 'italian', 'no': 'norwegian', 'pt': 'portuguese', 'ru': 'russian', 'es': 'spanish', 'sv': 'swedish', 'tr': 'turkish',
 }
 
 # ISO 639-1 code -> language name ('xxx' marks an undetected language).
@@ -67,24 +61,20 @@ ENTITY_LANGUAGES = ('en', 'es', 'fr', 'de', 'it', 'ru', 'zh')
 TAG_LANGUAGES = ('en', 'es', 'fr', 'de', 'it', 'pt', 'ru', 'zh')
 
 
-@lru_cache(maxsize=None)
-def default_stop_words(lang: str) -> tuple[str, ...] | None:
-    """The list Spark's ``StopWordsRemover`` ships for a language code, or None if it has none.
+def stop_words(languages: list[str]) -> dict[str, tuple[str, ...]]:
+    """The stop words that Spark ships for each language code; needs a running session.
 
-    Read from the jar, so it works where no JVM runs yet (when the SQL oracles are built).
+    A language without a list is an error: its tokens would stay unfiltered in silence.
     """
-    name = STOP_WORD_LISTS.get(lang)
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if name is None or not jars:
-        return None
-    with zipfile.ZipFile(jars[0]) as jar:
-        entry = f"org/apache/spark/ml/feature/stopwords/{name}.txt"
-        if entry not in jar.namelist():
-            return None
-        words = jar.read(entry).decode("utf-8").split("\n")
-    return tuple(sorted({w.strip() for w in words if w.strip()}))
+    missing = [lang for lang in languages if lang not in STOP_WORD_LISTS]
+    if missing:
+        raise ValueError(f"no stop-word list for {', '.join(missing)}")
+    found = {lang: StopWordsRemover.loadDefaultStopWords(STOP_WORD_LISTS[lang]) for lang in languages}
+    return {lang: tuple(sorted({w.strip() for w in words if w.strip()})) for lang, words in found.items()}
 
 
-def stop_words(languages: list[str]) -> dict[str, tuple[str, ...]]:
-    found = {lang: default_stop_words(lang) for lang in languages}
-    return {lang: words for lang, words in found.items() if words}
+@lru_cache(maxsize=None)
+def recorded_stop_words(lang: str) -> tuple[str, ...]:
+    """The same list from the file kept beside this module, for oracles built without a session."""
+    text = files(__package__).joinpath("stop_words", f"{lang}.txt").read_text("utf-8")
+    return tuple(sorted({w.strip() for w in text.split("\n") if w.strip()}))

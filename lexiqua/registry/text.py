@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicons import ENTITY_LANGUAGES, LANGUAGE_NAMES, TAG_LANGUAGES, stop_words
+from ..functions.lexicons import ENTITY_LANGUAGES, LANGUAGE_NAMES, TAG_LANGUAGES, recorded_stop_words, stop_words
 from ..operators import features, profile
 from ..plans.ordering import exact_quantiles
 from ..plans.staging import stage
@@ -131,7 +131,7 @@ STOP_LANGUAGES = ["de", "en", "es", "fr"]
 
 def _sql_stop_words() -> str:
     rows = ", ".join(
-        "('{}', '{}')".format(lang, w.replace("'", "''")) for lang, ws in stop_words(STOP_LANGUAGES).items() for w in ws
+        "('{}', '{}')".format(lang, w.replace("'", "''")) for lang in STOP_LANGUAGES for w in recorded_stop_words(lang)
     )
     return f"stop(lang, w) AS (VALUES {rows})"
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiqua.functions import text as X
-from lexiqua.functions.lexicons import LANGUAGE_NAMES, default_stop_words
+from lexiqua.functions.lexicons import LANGUAGE_NAMES, recorded_stop_words, stop_words
 from lexiqua.operators import features
 
 
@@ -30,15 +30,22 @@ def test_tokens_equal_padding_and_splitting(spark, small):
 
 def test_stop_words_keep_duplicates_and_unknown_languages(spark):
     df = spark.createDataFrame([("en", ["the", "cat", "cat"]), ("zz", ["the", "cat"])], "lang string, w array<string>")
-    kept = X.without_stop_words(F.col("w"), F.col("lang"), {"en": default_stop_words("en")})
+    kept = X.without_stop_words(F.col("w"), F.col("lang"), stop_words(["en"]))
     assert [r[0] for r in df.select(kept).collect()] == [["cat", "cat"], ["the", "cat"]]
 
 
 def test_stop_word_lists_equal_those_of_spark(spark):
-    from pyspark.ml.feature import StopWordsRemover
+    for lang in ("de", "en", "es", "fr"):
+        assert recorded_stop_words(lang) == stop_words([lang])[lang]
+    with pytest.raises(ValueError):
+        stop_words(["en", "xx"])
 
-    for lang, name in (("en", "english"), ("de", "german")):
-        assert set(default_stop_words(lang)) == set(StopWordsRemover.loadDefaultStopWords(name))
+
+def test_stop_words_do_not_need_the_jar_folder(spark, monkeypatch):
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "__file__", "/nowhere/pyspark/__init__.py")
+    assert "the" in stop_words(["en"])["en"] and "der" in recorded_stop_words("de")
 
 
 def test_root_ttr(spark):
