@@ -240,13 +240,15 @@ def tfidf_by_class(
 
 
 def vocabulary(
-    df: DataFrame, id_col: str, tokens_col: str, no_below: int = 5, no_above: float = 0.5, keep: int = 100_000
+    df: DataFrame, id_col: str, tokens_col: str, no_below: int = 5, no_above: float = 0.5, keep: int | None = None
 ) -> DataFrame:
-    """Terms in at least ``no_below`` rows and at most a share ``no_above`` of them, the ``keep`` most
-    frequent of those (ties by term)."""
+    """Terms in at least ``no_below`` rows and at most a share ``no_above`` of them; with ``keep``
+    only that many, the most frequent (ties by term)."""
     docs = df.count()
     frequency = _document_frequency(df, [], tokens_col, 1)
     kept = frequency.where((F.col("df") >= no_below) & (F.col("df") <= no_above * docs))
+    if keep is None:
+        return kept
     # a global top of this size would merge in one task; positions come from range blocks instead
     placed = row_positions(kept, [], [F.col("df").desc(), F.col("term").asc()], "_pos")
     return placed.where(F.col("_pos") < keep).drop("_pos")
@@ -350,7 +352,8 @@ def augment_minorities(
     )
     # only ids are put in order; the texts join when their copies are known
     sources = row_positions(df.select(class_col, F.col(id_col).alias("source_id")), [class_col], [F.col("source_id").asc()], "_pos")
-    chosen = stage(picks.join(sources, [class_col, "_pos"]).drop("_pos"), "chosen")
+    # a small class with a large deficit draws the same sources again and again: copies salt both joins
+    chosen = stage(lookup_join(picks, stage(sources, "sources"), [class_col, "_pos"], salt_by=["copy"]).drop("_pos"), "chosen")
     # every source text meets the neighbours once, however many copies it has; one group is one text
     used = df.select(F.col(id_col).alias("source_id"), tokens_col).join(chosen.select("source_id").distinct(), "source_id", "left_semi")
     words = used.select("source_id", F.posexplode(tokens_col).alias("i", "token"))
@@ -363,6 +366,18 @@ def augment_minorities(
         dice = F.pmod(hash_number(F.lit(seed), F.col(class_col), F.col("copy"), w["i"]), F.lit(100))
         return F.when(dice < share, w["other"]).otherwise(w["token"])
 
-    copied = chosen.join(texts, "source_id")
+    copied = lookup_join(chosen, stage(texts, "texts"), ["source_id"], salt_by=["copy"])
     text = F.array_join(F.transform("_words", word), " ")
     return copied.select(class_col, "copy", "source_id", text.alias("text")).where(F.trim("text") != "")
+
+
+def balanced_corpus(df: DataFrame, id_col: str, tokens_col: str, class_col: str, neighbours: DataFrame, seed: int = 12345, share: int = 30) -> DataFrame:
+    """The originals united with the copies that lift every class: (class, copy, source id, text, is_new).
+
+    An original has no copy number and its tokens as text.
+    """
+    originals = df.select(
+        class_col, F.lit(None).cast("long").alias("copy"), F.col(id_col).alias("source_id"), F.array_join(tokens_col, " ").alias("text"), F.lit(False).alias("is_new")
+    )
+    copies = augment_minorities(df, id_col, tokens_col, class_col, neighbours, seed, share)
+    return originals.unionByName(copies.withColumn("is_new", F.lit(True)))

@@ -34,6 +34,7 @@ from ..plans.neighbours import nearest_in_group
 from ..plans.ordering import row_positions
 from ..plans.staging import stage
 from . import evaluation as E
+from .corpus import vocabulary
 from .features import standard_scaled
 from .sampling import SEED, random_split, stratified_split, three_way_split
 
@@ -392,11 +393,8 @@ class Topics:
 
     def terms(self, top: int = 10) -> DataFrame:
         """(topic, rank, term, weight)."""
-        words = F.array(*[F.lit(w) for w in self.vocabulary]) if len(self.vocabulary) <= 1000 else None
         described = self.model.describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
         flat = described.select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("index"), F.col("t.termWeights").alias("weight"))
-        if words is not None:
-            return flat.select("topic", "rank", F.get(words, F.col("index")).alias("term"), "weight")
         spark = flat.sparkSession
         names = spark.createDataFrame(list(enumerate(self.vocabulary)), "index int, term string")
         return flat.join(names, "index").select("topic", "rank", "term", "weight")
@@ -417,20 +415,26 @@ class Topics:
 
 
 def fit_topics(
-    df: DataFrame, id_col: str, tokens_col: str, k: int = 10, passes: int = 5, no_below: int = 5, no_above: float = 0.5, keep: int = 100_000, seed: int = 42, **params
+    df: DataFrame, id_col: str, tokens_col: str, k: int = 10, passes: int = 5, no_below: int = 5, no_above: float = 0.5, seed: int = 42, **params
 ) -> Topics:
     """Latent Dirichlet allocation on terms in at least ``no_below`` rows and at most a share
-    ``no_above`` of them."""
+    ``no_above`` of them.
+
+    Each of the ``passes`` reads every row, and no term that passes both bounds is cut.
+    """
     rows = stage(df.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens")), "tokens")
-    counter = CountVectorizer(inputCol="tokens", outputCol="features", minDF=float(no_below), maxDF=float(no_above), vocabSize=keep).fit(rows)
+    size = max(1, vocabulary(rows, "id", "tokens", no_below, no_above).count())
+    counter = CountVectorizer(inputCol="tokens", outputCol="features", minDF=float(no_below), maxDF=float(no_above), vocabSize=size).fit(rows)
     counts = stage(counter.transform(rows).select("id", "features"), "counts")
-    model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online", **params).fit(counts)
+    model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online", subsamplingRate=1.0, **params).fit(counts)
     return Topics(model, counts, counter.vocabulary, k)
 
 
 def word_neighbours(df: DataFrame, tokens_col: str, dims: int = 32, min_count: int = 5, seed: int = 42) -> DataFrame:
     """(token, neighbour): closest other word by Word2Vec cosine, for the augmentation."""
-    model = Word2Vec(inputCol=tokens_col, outputCol="v", vectorSize=dims, minCount=min_count, seed=seed).fit(df)
+    # one training task per input partition: each sweeps its own rows and the vectors are averaged
+    parts = max(1, df.rdd.getNumPartitions())
+    model = Word2Vec(inputCol=tokens_col, outputCol="v", vectorSize=dims, minCount=min_count, seed=seed, numPartitions=parts).fit(df)
     v = vector_to_array("vector")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     vectors = model.getVectors().select("word", F.lit(0).alias("g"), v.alias("v"), norm.alias("n")).where(F.col("n") > 0)

@@ -165,8 +165,7 @@ def tfidf_by_class(spark, sf_dir):
 @query(
     "vocabulary",
     f"""WITH {SQL_TERM} SELECT w AS term, count(DISTINCT doc_id) AS df FROM term GROUP BY w
-HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.5 * (SELECT count(*) FROM documents)
-ORDER BY df DESC, term LIMIT 100000""",
+HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.5 * (SELECT count(*) FROM documents)""",
 )
 def vocabulary(spark, sf_dir):
     return corpus.vocabulary(tokenized(spark, sf_dir), "doc_id", "tokens")
@@ -232,9 +231,10 @@ c AS (SELECT lang, n, unnest(range(deficit)) AS copy FROM size),
 pick AS (SELECT c.lang, copy, doc_id FROM c JOIN src ON src.lang = c.lang AND src.pos = {_PICK.replace('lang', 'c.lang')} % n),
 wd AS (SELECT p.lang, copy, doc_id, i - 1 AS i, w FROM pick p JOIN term USING (doc_id)),
 sw AS (SELECT lang, copy, doc_id, i, CASE WHEN {_DICE} % 100 < 30 THEN coalesce(context, w) ELSE w END AS w FROM wd LEFT JOIN best ON token = w)
-SELECT lang, copy, doc_id AS source_id, string_agg(w, ' ' ORDER BY i) AS text FROM sw GROUP BY ALL""",
+SELECT lang, copy, doc_id AS source_id, string_agg(w, ' ' ORDER BY i) AS text, true AS is_new FROM sw GROUP BY ALL
+UNION ALL SELECT lang, NULL, doc_id, array_to_string(tokens, ' '), false FROM tok""",
 )
 def augmented_balanced(spark, sf_dir):
     t = stage(tokenized(spark, sf_dir, "lang"), "tokens")
     neighbours = corpus.top_neighbours(corpus.cooccurrence(t, "tokens", 2))
-    return corpus.augment_minorities(t, "doc_id", "tokens", "lang", neighbours)
+    return corpus.balanced_corpus(t, "doc_id", "tokens", "lang", neighbours)

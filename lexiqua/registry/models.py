@@ -204,4 +204,4 @@ def augmented_word_vectors(spark, sf_dir):
     """Augmentation that replaces words by their closest word vector."""
     t = stage(tokenized(spark, sf_dir, "lang"), "tokens")
     neighbours = M.word_neighbours(t, "tokens")
-    return corpus.augment_minorities(t, "doc_id", "tokens", "lang", neighbours)
+    return corpus.balanced_corpus(t, "doc_id", "tokens", "lang", neighbours)

@@ -27,7 +27,7 @@ def language_scores(spark, sf_dir):
     return s.withColumn("p", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), N.argmax(F.col("scores")) + 1))
 
 
-_SQL_QUALITY = """q AS MATERIALIZED (SELECT doc_id, quality AS y, least(n_chars, 5000)::DOUBLE AS score, (n_chars >= 1000)::INTEGER AS p,
+_SQL_QUALITY = """q AS MATERIALIZED (SELECT doc_id, quality AS y, n_chars::DOUBLE AS score, (n_chars >= 1000)::INTEGER AS p,
   CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents JOIN labels USING (doc_id))"""
 
 
@@ -37,7 +37,7 @@ def quality_scores(spark, sf_dir):
     return d.select(
         "doc_id",
         F.col("quality").alias("y"),
-        F.least("n_chars", F.lit(5000)).cast("double").alias("score"),
+        F.col("n_chars").cast("double").alias("score"),
         (F.col("n_chars") >= 1000).cast("int").alias("p"),
         F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -39,13 +40,19 @@ def softmax_argmax(spark, sf_dir):
     )
 
 
-_SQL_SENTIMENT = f"""l AS (SELECT vec_id, label, list_transform(embedding[1:3], lambda x: x::DOUBLE * 8) AS l FROM embeddings),
+# three class scores from sums over the whole vector: entries 1-21, 22-42 and 43 to the end
+_SQL_SENTIMENT = f"""vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+l AS (SELECT vec_id, label, [list_sum(v[1:21]) * 2, list_sum(v[22:42]) * 2, list_sum(v[43:]) * 2] AS l FROM vectors),
 s AS (SELECT vec_id, label, p[3] - p[1] AS score FROM (SELECT vec_id, label, {_sql_softmax('l')} AS p FROM l))"""
 
 
 def sentiment(spark, sf_dir):
-    """(vec_id, label, score): class probabilities from the first three vector entries."""
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 8)
+    """(vec_id, label, score): class probabilities from three sums over the whole vector."""
+
+    def total(start: int, length: int | Column) -> Column:
+        return F.aggregate(F.slice("embedding", start, length), F.lit(0.0), lambda a, x: a + x.cast("double")) * 2
+
+    logits = F.array(total(1, 21), total(22, 21), total(43, F.greatest(F.size("embedding") - 42, F.lit(0))))
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", N.softmax(logits).alias("p"))
     return e.select("vec_id", "label", N.sentiment_score(F.col("p")).alias("score"))
 
