@@ -7,26 +7,16 @@ cached block or a local checkpoint does not.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_roots: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder of this application below ``spark.checkpoint.dir``.
-
-    Only a local session may run without that setting: it then gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _own_roots.get(app) or _own_roots.setdefault(app, tempfile.mkdtemp(prefix="lexiqua-"))
-    return f"{root.rstrip('/')}/{app}"
+    """Folder of this application below ``spark.checkpoint.dir``, or, where that is unset, below
+    the warehouse, which driver and executors share as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

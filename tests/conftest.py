@@ -12,8 +12,12 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session(
+        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=f"file://{shared}/checkpoint", spark__sql__warehouse__dir=f"file://{shared}/warehouse",
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

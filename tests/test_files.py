@@ -96,20 +96,33 @@ def test_staging_follows_the_session_setting(spark, tmp_path):
     assert setting is None or root.startswith(setting)
 
 
-def test_cluster_without_shared_folder_is_refused(monkeypatch):
+def test_staging_without_a_setting_goes_below_the_warehouse():
     class Context:
-        applicationId, master = "app", "spark://host"
+        applicationId = "app"
 
     class Conf:
         def get(self, key, default=None):
-            return default
+            return "hdfs://host/warehouse" if key == "spark.sql.warehouse.dir" else default
 
     class Session:
         sparkContext, conf = Context(), Conf()
 
-    with pytest.raises(RuntimeError):
-        staging_root(Session())
+    assert staging_root(Session()) == "hdfs://host/warehouse/_staged/app"
 
 
-def test_release_removes_only_this_application(spark):
-    assert callable(release) and staging_root(spark).count(spark.sparkContext.applicationId) == 1
+def test_release_removes_only_this_application(spark, tmp_path):
+    class Session:
+        sparkContext = spark.sparkContext
+        _root = str(tmp_path)
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return Session._root
+
+    mine, other = tmp_path / spark.sparkContext.applicationId / "table", tmp_path / "another" / "table"
+    for folder in (mine, other):
+        folder.mkdir(parents=True)
+        (folder / "part").write_text("x")
+    release(Session())
+    assert not mine.parent.exists() and (other / "part").exists()
