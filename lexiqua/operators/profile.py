@@ -40,8 +40,8 @@ def token_weights_by_class(df: DataFrame, tokens_col: str, class_col: str, k: in
     """Word-cloud weights: counts relative to the class's most frequent token."""
     top = top_tokens_by_class(df, tokens_col, class_col, k)
     # at most k rows per class are left here
-    peak = top.where(F.col("rank") == 1).select(class_col, F.col("n").alias("peak"))
-    return top.join(F.broadcast(peak), class_col).select(class_col, "token", "n", (F.col("n") / F.col("peak")).alias("weight"))
+    peak = F.max("n").over(Window.partitionBy(class_col))
+    return top.select(class_col, "token", "n", (F.col("n") / peak).alias("weight"))
 
 
 def tag_frequencies(df: DataFrame, tags_col: str, class_col: str) -> DataFrame:
@@ -83,7 +83,7 @@ def bin_index(x: Column, low: Column, high: Column, bins: int) -> Column:
 def score_histogram(df: DataFrame, class_col: str, value_col: str, bins: int = 20) -> DataFrame:
     """Histogram per class plus 'all', each over its own value range; empty bins have no row."""
     rows = with_all(df.select(F.col(class_col).alias("class"), F.col(value_col).cast("double").alias("x")), "class")
-    return histogram(rows.where(F.col("x").isNotNull()), ["class"], "x", bins)
+    return histogram(rows.where(F.col("x").isNotNull() & ~F.isnan("x")), ["class"], "x", bins)
 
 
 def histogram(df: DataFrame, group: list[str], value_col: str, bins: int) -> DataFrame:
@@ -101,7 +101,7 @@ QUARTILES = {"p00": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
 def distribution_by_category(df: DataFrame, value_col: str, category_col: str, bins: int = 10) -> DataFrame:
     """Histogram counts and quartiles per category in one tidy table (category, kind, key, value)."""
     rows = df.select(F.col(category_col).alias("category"), F.col(value_col).cast("double").alias("x")).where(
-        F.col("x").isNotNull()
+        F.col("x").isNotNull() & ~F.isnan("x")
     )
     bars = histogram(rows, ["category"], "x", bins).select(
         "category", F.lit("bin").alias("kind"), F.col("bin").cast("string").alias("key"), F.col("n").cast("double").alias("value")
@@ -151,7 +151,7 @@ def column_profile(df: DataFrame, target_col: str, exclude: list[str] = (), bins
     melted = df.select(
         label,
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in measured])),
-    ).where(F.col("x").isNotNull())
+    ).where(F.col("x").isNotNull() & ~F.isnan("x"))
     bars = histogram(melted, ["column", "class"], "x", bins).select(
         "column", F.lit("histogram").alias("kind"), F.col("bin").cast("string").alias("bucket"), "class", "n"
     )
@@ -178,7 +178,7 @@ def boxplot_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = melt(df, columns)
     quartiles = exact_quantiles(rows, ["feature"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    marked = rows.where(F.col("x").isNotNull()).join(F.broadcast(quartiles), "feature").withColumn(
+    marked = rows.where(F.col("x").isNotNull() & ~F.isnan("x")).join(F.broadcast(quartiles), "feature").withColumn(
         "_in", (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach)
     )
     return marked.groupBy("feature", "q1", "median", "q3").agg(
@@ -257,6 +257,7 @@ def remove_outliers(
     def test(column: str, q1: float | None, q3: float | None) -> Column:
         reach = (q3 - q1) * 1.5 if q1 is not None else 0.0
         low, high = (q1 - reach, q3 + reach) if q1 is not None else (None, None)
+        # NaN is above every number for Spark, so the upper bound fails it like NULL
         ok = F.coalesce((F.col(column) >= F.lit(low)) & (F.col(column) <= F.lit(high)), F.lit(False))
         return ok | F.coalesce(F.col(keep_col), F.lit(False)) if keep_col else ok
 

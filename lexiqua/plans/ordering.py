@@ -67,85 +67,66 @@ def row_positions(df: DataFrame, group: list[str], order: list[Column], name: st
 
 
 SKETCH_ACCURACY = 10_000
-SKETCH_FROM = 100_000
-RANK_ALL = 5_000_000
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles, one row per group; NULLs are ignored.
+    """Exact linearly interpolated quantiles, one row per group; NULL and NaN are ignored.
 
-    Up to ``RANK_ALL`` rows are simply ranked.  Beyond, a quantile sketch brackets each wanted value between two close ones.  Rows below the bracket
-    are only counted; just the rows inside it (some 1/2500 of a large group) are shuffled and ranked.
-    Groups below ``SKETCH_FROM`` rows are ranked whole.  Should a sketch ever miss, which its error
-    bound excludes, all rows are ranked instead.
+    A quantile sketch brackets each wanted value between two close ones.  Rows below a bracket are
+    only counted, just the rows inside it (some 1/2500 of a large group) are shuffled and ranked.
+    A wanted rank can also be the very next value outside its bracket, which the counting pass
+    brings along; the sketch's error bound excludes anything farther, and the query would fail.
     """
-    keys = group or ["_g"]
-    rows = df.where(F.col(value).isNotNull())
-    rows = rows.select(*group, *([] if group else [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_x"))
-    found = _ranked_quantiles(rows, keys, probs) if rows.count() <= RANK_ALL else _bracketed_quantiles(rows, keys, probs)
-    values = [
-        (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o) for o in probs
-    ]
-    # without rows there is no group; an ungrouped call still gives its one row, of NULLs
-    return found.select(*group, *values) if group else found.agg(*[F.max(v).alias(o) for o, v in zip(probs, values)])
-
-
-def _bracketed_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """The neighbours of every quantile from ranking only the rows between two sketched values."""
+    # a struct compares NULL fields as equal, so rows without a group are a group of their own
+    keys = ["_g"]
+    number = F.col(value).cast("double")
+    rows = df.where(number.isNotNull() & ~F.isnan(number))
+    rows = rows.select((F.struct(*group) if group else F.lit(0)).alias("_g"), number.alias("_x"))
     slack = 2.0 / SKETCH_ACCURACY
     edges = [e for p in probs.values() for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    size = F.count(F.lit(1))
     heads = stage(
-        rows.groupBy(*keys).agg(
-            F.percentile_approx("_x", edges, SKETCH_ACCURACY).alias("_e"), size.alias("_all"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
-        ),
-        "sketch",
+        rows.groupBy(*keys).agg(F.percentile_approx("_x", edges, SKETCH_ACCURACY).alias("_e"), F.count(F.lit(1)).alias("_all")), "sketch"
     )
-    whole = F.col("_all") < SKETCH_FROM
-    brackets = heads.select(
-        *keys,
-        "_all",
-        *[F.when(whole, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias(f"_lo_{i}") for i in range(len(probs))],
-        *[F.when(whole, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias(f"_hi_{i}") for i in range(len(probs))],
-    )
-    placed = lookup_join(rows, brackets.drop("_all"), keys, salt_by=["_x"])
-    inside = [(F.col("_x") >= F.col(f"_lo_{i}")) & (F.col("_x") <= F.col(f"_hi_{i}")) for i in range(len(probs))]
-    below = stage(
-        placed.groupBy(*keys).agg(*[F.count(F.when(F.col("_x") < F.col(f"_lo_{i}"), 1)).alias(f"_b_{i}") for i in range(len(probs))]),
-        "below",
+    places = range(len(probs))
+    low, high = [F.col("_e")[2 * i] for i in places], [F.col("_e")[2 * i + 1] for i in places]
+    placed = lookup_join(rows, heads.drop("_all"), keys, salt_by=["_x"])
+    x = F.col("_x")
+    outside = stage(
+        placed.groupBy(*keys).agg(
+            *[F.count(F.when(x < low[i], 1)).alias(f"_b_{i}") for i in places],
+            *[F.max(F.when(x < low[i], x)).alias(f"_prev_{i}") for i in places],
+            *[F.min(F.when(x > high[i], x)).alias(f"_next_{i}") for i in places],
+        ).join(heads.drop("_e"), keys),
+        "outside",
     )
-    hits = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]))
-    near = placed.where(reduce(lambda a, b: a | b, inside)).select(*keys, "_x", F.explode(hits).alias("_p"))
-    counts = near.groupBy(*keys, "_p", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(counts, [*keys, "_p"], [F.col("_x").asc()], {"_upto": "_n"})
-    ranked = cum.join(brackets.select(*keys, "_all").join(below, keys), keys)
-    aggs = []
+    hits = F.array_compact(F.array(*[F.when((x >= low[i]) & (x <= high[i]), F.lit(i)) for i in places]))
+    counts = placed.select(*keys, "_x", F.explode(hits).alias("_p")).groupBy(*keys, "_p", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = lookup_join(running_totals(counts, [*keys, "_p"], [x.asc()], {"_upto": "_n"}), outside, keys, salt_by=["_x"])
+
+    def wanted(i: int, p: float, of: Callable[[Column], Column]) -> Column:
+        return of(F.lit(float(p)) * (F.col("_all") - 1)) - F.col(f"_b_{i}")
+
+    sides = {"lo": F.floor, "hi": F.ceil}
+    aggs = [F.max(F.when(F.col("_p") == i, F.col("_upto"))).alias(f"_m_{i}") for i in places]
+    for i, p in enumerate(probs.values()):
+        for side, of in sides.items():
+            rank = wanted(i, p, of)
+            here = (F.col("_p") == i) & (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+            aggs.append(F.max(F.when(here, x)).alias(f"_{side}_{i}"))
+    found = ranked.groupBy(*keys).agg(*aggs).join(outside, keys)
+    values = []
     for i, (out, p) in enumerate(probs.items()):
         at = F.lit(float(p)) * (F.col("_all") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            wanted = rank - F.col(f"_b_{i}")
-            here = (F.col("_p") == i) & (F.col("_upto") - F.col("_n") <= wanted) & (wanted < F.col("_upto"))
-            aggs.append(F.max(F.when(here, F.col("_x"))).alias(f"_{side}_{out}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"_f_{out}"))
-    found = stage(ranked.groupBy(*keys).agg(*aggs), "quantiles")
-    missed = [F.col(f"_{side}_{o}").isNull() for o in probs for side in ("lo", "hi")]
-    if found.where(reduce(lambda a, b: a | b, missed)).limit(1).count():
-        found = _ranked_quantiles(rows, keys, probs)
-    return found
-
-
-def _ranked_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """The neighbours of every quantile from a ranking of all distinct values."""
-    counts = rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(counts, keys, [F.col("_x").asc()], {"_upto": "_n"}, {"_all": "_n"})
-    aggs = []
-    for out, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_all") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            here = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            aggs.append(F.max(F.when(here, F.col("_x"))).alias(f"_{side}_{out}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"_f_{out}"))
-    return cum.groupBy(*keys).agg(*aggs)
+        ends = [
+            F.when(wanted(i, p, of) == -1, F.col(f"_prev_{i}")).when(wanted(i, p, of) == F.col(f"_m_{i}"), F.col(f"_next_{i}")).otherwise(F.col(f"_{side}_{i}"))
+            for side, of in sides.items()
+        ]
+        lower, upper = [F.coalesce(e, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")) for e in ends]
+        values.append((lower + (upper - lower) * (at - F.floor(at))).alias(out))
+    if group:
+        return found.select(*[F.col("_g")[g].alias(g) for g in group], *values)
+    # without rows there is no group; an ungrouped call still gives its one row, of NULLs
+    return found.select(*values).agg(*[F.max(o).alias(o) for o in probs])
 
 
 def hash_cuts(df: DataFrame, group: list[str], key: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:

@@ -29,19 +29,18 @@ def test_running_totals(spark, partitions):
         assert (part["t"] == part["v"].cumsum()).all() and (part["all"] == part["v"].sum()).all()
 
 
-@pytest.mark.parametrize("bracketed", [False, True])
-def test_exact_quantiles(spark, monkeypatch, bracketed):
-    if bracketed:
-        monkeypatch.setattr(ordering, "RANK_ALL", 0)
-        monkeypatch.setattr(ordering, "SKETCH_FROM", 1000)
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(2)
     hot = np.where(rng.random(40000) < 0.4, 7.0, rng.normal(size=40000) * 10)
     few = np.array([1.0, 2.0, 3.0, 10.0])
-    rows = [("hot", float(x)) for x in hot] + [("few", float(x)) for x in few] + [("few", None)]
+    sizes = {f"n{n}": rng.integers(0, 9, n).astype(float) for n in (1, 2, 3, 5, 6, 7, 11, 50)}
+    rows = [("hot", float(x)) for x in hot] + [("few", float(x)) for x in few] + [("few", None), ("few", float("nan")), ("none", float("nan"))]
+    rows += [(None, float(x)) for x in few] + [(g, float(x)) for g, xs in sizes.items() for x in xs]
     df = spark.createDataFrame(rows, "g string, x double").repartition(8)
     probs = {"a": 0.0, "q1": 0.25, "m": 0.5, "q3": 0.75, "p": 0.95, "z": 1.0}
     got = {r["g"]: r for r in ordering.exact_quantiles(df, ["g"], "x", probs).collect()}
-    for g, x in (("hot", hot), ("few", few)):
+    assert "none" not in got
+    for g, x in (("hot", hot), ("few", few), (None, few), *sizes.items()):
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(np.quantile(x, p), abs=1e-9), (g, name)
     empty = ordering.exact_quantiles(df.where("false"), [], "x", {"m": 0.5}).collect()
