@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import stage
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
-
-
-def _width(field: T.StructField) -> Column:
-    column = F.col(field.name)
-    if isinstance(field.dataType, T.StringType):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
-        return F.coalesce(F.size(column), F.lit(0)) * 16 + 16
+#: Facts of one key that a join leaves in one task.
+HOT_ROWS = 250_000
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: variable parts as they are, 16 for every slot or header."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(value), T.ArrayType(kind.keyType)) + _width(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)):
+            inner = F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _width(x, kind.elementType))
+            return F.coalesce(inner, F.lit(0)) + 16
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * 16 + 16
     return F.lit(16)
 
 
 def fits_broadcast(dim: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Measure the lookup side: total bytes of its values against ``limit``."""
-    width = sum((_width(f) for f in dim.schema.fields), F.lit(16))
+    width = sum((_width(F.col(f.name), f.dataType) for f in dim.schema.fields), F.lit(16))
     size = dim.agg(F.sum(width.cast("long")).alias("b")).first()["b"]
     return (size or 0) <= limit
 
@@ -39,17 +52,24 @@ def lookup_join(
     salt_by: list[str],
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
+    hot: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a large, possibly skewed ``fact`` to a staged table with one row per ``on`` key.
 
-    A measured small ``dim`` is broadcast.  A larger one is copied to every salt and joined on
-    (key, salt), so that a key holding a third of the facts is spread over ``SALTS`` tasks.
+    A measured small ``dim`` is broadcast.  Beside a larger one the facts are counted by key,
+    map-side first; a key of more than ``hot`` facts is split into so many parts of about that
+    size, and only its row of ``dim`` is copied, once per part.  All other rows join unsalted.
     """
     if fits_broadcast(dim, limit):
         return fact.join(F.broadcast(dim), on, how)
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_facts")).where(F.col("_facts") > hot)
+    parts = small_side(stage(counts.select(*on, F.ceil(F.col("_facts") / hot).cast("int").alias("_parts")), "hot"))
+    # facts with a NULL key meet no row of dim; they are spread as well
+    alone = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    split = fact.join(parts, on, "left").withColumn("_parts", F.coalesce("_parts", F.when(alone, SALTS).otherwise(1)))
+    salted = split.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.col("_parts")).cast("int")).drop("_parts")
+    copies = dim.join(parts, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return salted.join(copies.drop("_parts"), [*on, "_salt"], how).drop("_salt")
 
 
 def token_lookup(df: DataFrame, keys: list[str], tokens_col: str, dim: DataFrame, salt_by: list[str]) -> DataFrame:

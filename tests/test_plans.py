@@ -63,7 +63,7 @@ def test_salted_lookup_equals_broadcast(spark, how):
     fact = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     dim = stage(spark.createDataFrame([("hot", 1), ("3", 2), ("x", 3)], "k string, v int"))
     a = joins.lookup_join(fact, dim, ["k"], ["id"], how).orderBy("id").collect()
-    b = joins.lookup_join(fact, dim, ["k"], ["id"], how, limit=-1).orderBy("id").collect()
+    b = joins.lookup_join(fact, dim, ["k"], ["id"], how, limit=-1, hot=50).orderBy("id").collect()
     assert a == b and len(a) == (1334 if how == "inner" else 2000)
 
 
@@ -141,3 +141,20 @@ def test_detect_language_without_letters(spark):
     got = {r["id"]: r["detected"] for r in corpus.detect_language(df, "id", "t", profiles).collect()}
     # a lone foreign letter shares no gram with the profiles
     assert got == {1: "en", 2: "xxx", 3: "de", 4: "xxx"}
+
+
+def test_lookup_join_splits_only_hot_keys(spark):
+    fact = spark.range(3000).select("id", F.when(F.col("id") < 1000, 0).when(F.col("id") < 1100, None).otherwise(F.col("id")).alias("k"))
+    dim = spark.range(3000).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    for how in ("inner", "left"):
+        plain = fact.join(dim, "k", how)
+        split = joins.lookup_join(fact, dim, ["k"], ["id"], how, limit=-1, hot=300)
+        assert sorted(map(str, split.select("k", "id", "v").collect())) == sorted(map(str, plain.select("k", "id", "v").collect()))
+
+
+def test_width_counts_nested_values(spark):
+    rows = [(["x" * 100, None], ("y" * 50, 1), {"k": "z" * 30}), (None, None, None)]
+    df = spark.createDataFrame(rows, "a array<string>, s struct<t:string,n:int>, m map<string,string>")
+    bytes_ = 100 + 50 + 30 + 1
+    assert not joins.fits_broadcast(df, bytes_) and joins.fits_broadcast(df, bytes_ + 500)
+    assert not joins.fits_broadcast(spark.range(1000).select(F.array(F.repeat(F.lit("x"), F.lit(1000))).alias("a")), 1_000_000)
