@@ -219,16 +219,17 @@ def detected_language(spark, sf_dir):
 
 _PICK = sql_number("12345", "lang", "copy")
 _DICE = sql_number("12345", "lang", "copy", "i")
+SQL_PICKS = f"""size AS (SELECT lang, count(*) AS n, max(count(*)) OVER () - count(*) AS deficit FROM documents GROUP BY lang),
+src AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents),
+c AS (SELECT lang, n, unnest(range(deficit)) AS copy FROM size),
+pick AS (SELECT c.lang, copy, doc_id FROM c JOIN src ON src.lang = c.lang AND src.pos = {_PICK.replace('lang', 'c.lang')} % n)"""
 
 
 @query(
     "augmented_balanced",
     f"""WITH {_SQL_EDGES},
 best AS (SELECT token, context FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, context) AS r FROM edge) WHERE r = 1),
-size AS (SELECT lang, count(*) AS n, max(count(*)) OVER () - count(*) AS deficit FROM documents GROUP BY lang),
-src AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents),
-c AS (SELECT lang, n, unnest(range(deficit)) AS copy FROM size),
-pick AS (SELECT c.lang, copy, doc_id FROM c JOIN src ON src.lang = c.lang AND src.pos = {_PICK.replace('lang', 'c.lang')} % n),
+{SQL_PICKS},
 wd AS (SELECT p.lang, copy, doc_id, i - 1 AS i, w FROM pick p JOIN term USING (doc_id)),
 sw AS (SELECT lang, copy, doc_id, i, CASE WHEN {_DICE} % 100 < 30 THEN coalesce(context, w) ELSE w END AS w FROM wd LEFT JOIN best ON token = w)
 SELECT lang, copy, doc_id AS source_id, string_agg(w, ' ' ORDER BY i) AS text, true AS is_new FROM sw GROUP BY ALL
