@@ -18,7 +18,7 @@ def csv_clean_scan(spark, sf_dir):
     messy = c.toDF("C Custkey ", "c_name", "C  NationKey", "C AcctBal (%)", " C MktSegment?")
     path = fresh_path(spark, "csv")
     files.write_csv(messy, path)
-    return files.read_csv(spark, path, schema=c.schema)
+    return files.read_csv(spark, path, schema=c.schema, multi_line=False)
 
 
 @query("csv_text_scan", "SELECT doc_id, lang, text FROM documents")
@@ -26,8 +26,8 @@ def csv_text_scan(spark, sf_dir):
     """Texts with quotes and line breaks survive the CSV round trip."""
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("Doc ID"), "lang", F.col("text").alias("TEXT"))
     path = fresh_path(spark, "csv")
-    files.write_csv(d, path)
-    back = files.read_csv(spark, path)
+    files.write_csv(d, path, escaped_breaks=True)
+    back = files.read_csv(spark, path, multi_line=False, escaped_breaks=True)
     return back.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

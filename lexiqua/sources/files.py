@@ -21,20 +21,47 @@ def clean_name(name: str) -> str:
     return re.sub(r"\s+", "_", re.sub(r"[^a-zA-Z0-9\s]", "", name.strip())).lower()
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header row, quoted line breaks and doubled quotes; header names are cleaned.
-
-    Without a schema every column is a string: inference would read the data twice.
+def _escaped(df: DataFrame) -> DataFrame:
+    """Line breaks and backslashes of text columns as two-character escapes."""
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            text = F.col(f"`{f.name}`")
+            for plain, coded in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+                text = F.replace(text, F.lit(plain), F.lit(coded))
+            df = df.withColumn(f.name, text)
+    return df
+
+
+def _unescaped(df: DataFrame) -> DataFrame:
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            # parts between escaped backslashes; only in them do the other escapes count
+            parts = F.split(F.col(f"`{f.name}`"), r"\\\\", -1)
+            plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+            df = df.withColumn(f.name, F.array_join(plain, "\\"))
+    return df
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True, escaped_breaks: bool = False
+) -> DataFrame:
+    """CSV with a header row and doubled quotes; header names are cleaned.
+
+    Quoted line breaks need ``multi_line``, which reads every file in one task.  Without it large
+    files are split; ``escaped_breaks`` then undoes the escapes of ``write_csv``.  Without a
+    schema every column is a string: inference would read the data twice.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", True)
     df = reader.csv(path)
-    return df.toDF(*[clean_name(c) for c in df.columns])
+    df = df.toDF(*[clean_name(c) for c in df.columns])
+    return _unescaped(df) if escaped_breaks else df
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", escaped_breaks: bool = False) -> None:
+    """CSV with a header row; ``escaped_breaks`` keeps every record on one line, so that files split."""
+    writer = (_escaped(df) if escaped_breaks else df).write.mode(mode).option("header", True).option("escape", '"')
     # by default the writer would trim blanks at both ends of a text
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 

@@ -87,6 +87,21 @@ def test_request_fields(spark):
     }]
 
 
+def test_escaped_breaks_split_one_file(spark, tmp_path):
+    texts = ["plain", "a\nb\r\nc", "\\n is no break", "\\", "\\\n\\\\r", 'say "x"\n', " edge ", None]
+    rows = [(i, texts[i % len(texts)]) for i in range(4000)]
+    path = str(tmp_path / "csv")
+    files.write_csv(spark.createDataFrame(rows, "id int, `Some Text` string").coalesce(1), path, escaped_breaks=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        back = files.read_csv(spark, path, "id int, `Some Text` string", multi_line=False, escaped_breaks=True)
+        assert back.columns == ["id", "some_text"] and back.rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, back.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_staging_follows_the_session_setting(spark, tmp_path):
     other = spark.newSession()
     other.conf.set("spark.app.note", "x")
