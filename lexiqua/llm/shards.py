@@ -19,9 +19,10 @@ from ..plans.joins import lookup_join
 from ..plans.ordering import row_positions
 from ..plans.staging import stage
 
-#: Buckets per node and round of a median, and pieces that a full shard may be made of.
+#: Buckets per node and round of a median.
 BUCKETS = 256
-GRAIN = 256
+#: A group of equal texts is cut only above this share of a shard, and never below the largest text.
+GRAIN = 64
 #: Coordinates are integers below this; one round narrows an interval BUCKETS-fold.
 SPAN = 1 << 24
 ROUNDS = 3
@@ -51,7 +52,7 @@ def atoms(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     Dimensions: logarithm of the size, language and source (hashed to the range), smallest id.
     """
     total = rows.agg(F.sum("size").alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("size").alias("m")).first()
-    grain = max(1, (total["b"] or 0) // (shards * GRAIN))
+    grain = max(1, total["m"] or 1, (total["b"] or 0) // (shards * GRAIN))
     heavy = stage(
         rows.groupBy("h1", "h2").agg(F.sum("size").alias("b")).where(F.col("b") > grain).select("h1", "h2", F.ceil(F.col("b") / grain).cast("int").alias("pieces")),
         "heavy",
@@ -77,11 +78,11 @@ def atoms(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
 DIMENSIONS = ("d0", "d1", "d2", "d3")
 
 
-def _cuts(points: DataFrame, wanted: dict[int, float], place: Column) -> dict[int, tuple[int, float]]:
-    """For every node the coordinate at which the running bytes pass ``wanted``, and the bytes
-    still wanted from the rows at that very coordinate."""
+def _cuts(points: DataFrame, wanted: dict[int, float], place: Column) -> dict[int, tuple[int, float, int]]:
+    """For every node the coordinate at which the running bytes pass ``wanted``, the bytes still
+    wanted from the rows at that very coordinate, and the bytes that these rows have."""
     low = {n: 0 for n in wanted}
-    rest = dict(wanted)
+    rest, here = dict(wanted), {n: 0 for n in wanted}
     width = SPAN
     for _ in range(ROUNDS):
         step = max(1, width // BUCKETS)
@@ -100,8 +101,9 @@ def _cuts(points: DataFrame, wanted: dict[int, float], place: Column) -> dict[in
         for row in first.collect():  # one row per node, as many as shards at most
             low[row["node"]] += row["f"]["bucket"] * step
             rest[row["node"]] -= row["f"]["upto"] - row["f"]["b"]
+            here[row["node"]] = row["f"]["b"]
         width = step
-    return {n: (low[n], rest[n]) for n in wanted}
+    return {n: (low[n], rest[n], here[n]) for n in wanted}
 
 
 def _lookup(values: dict[int, float], key: Column) -> Column:
@@ -132,10 +134,11 @@ def tree(points: DataFrame, shards: int) -> DataFrame:
         inside = current.where(F.col("node").isin(*open_))
         wanted = {n: stats[n]["b"] * (k // 2) / k for n, k in open_.items()}
         cuts = _cuts(inside, wanted, place)
-        at = _lookup({n: c for n, (c, _) in cuts.items()}, F.col("node"))
+        at = _lookup({n: c for n, (c, _, _) in cuts.items()}, F.col("node"))
         equal = inside.where(place == at)
-        ties = _cuts(equal, {n: r for n, (_, r) in cuts.items()}, F.col("tie"))
-        tie_at = _lookup({n: c for n, (c, _) in ties.items()}, F.col("node"))
+        ties = _cuts(equal, {n: r for n, (_, r, _) in cuts.items()}, F.col("tie"))
+        # the atom at the cut goes left if that comes nearer to the wanted bytes
+        tie_at = _lookup({n: c - (2 * r < b) for n, (c, r, b) in ties.items()}, F.col("node"))
         right = (place > at) | ((place == at) & (F.col("tie") > tie_at))
         child = F.when(F.col("node").isin(*open_), F.col("node") * 2 + 1 + right.cast("int")).otherwise(F.col("node"))
         current = stage(current.withColumn("node", child), "tree")
@@ -153,7 +156,7 @@ def kd_shards(
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 1; ``target_bytes`` sets the number of
     shards from the total.  Rows with equal texts share a shard unless their group is larger than
-    1/256 of one.  ``slot`` numbers a shard's rows from 0 by id.  Null ids, languages and sources
+    1/64 of one and than the largest text.  ``slot`` numbers a shard's rows from 0 by id.  Null ids, languages and sources
     are values of their own; repeated rows keep a row each; an empty table gives no rows.
     """
     rows = stage(metadata(docs, doc_id, text, lang, source), "metadata")
