@@ -6,8 +6,10 @@
    That is linear in the members and joins large groups of near copies to components.
 3. What may still be missing are links between components.  Small buckets that span components
    give their pairs.  For members of larger ones a prefix filter takes over: two sets of
-   similarity t share one of the rarest ``n - ceil(t n) + 1`` shingles of each, which keeps a
-   frequent passage from pairing all documents that hold it.
+   similarity t share one of the rarest ``n - ceil(t n) + 1`` shingles of each, and where they
+   first meet in the order of rarity, what is left of both must still suffice.  Here too each
+   shingle first pairs its members with one hub, the set with the fewest rarer shingles, and
+   only what still spans components afterwards is paired in full.
 4. Candidates are pruned in batches of signature values: a pair goes as soon as the posterior
    probability of a similarity of at least t falls below the miss probability.  Survivors are
    verified on their full shingle sets.
@@ -24,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +42,7 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-6
 #: Buckets up to this size give their pairs directly, larger ones go through the prefix filter.
-SMALL = 32
+SMALL = 8
 #: Shingles per numpy block.
 BLOCK = 1 << 16
 
@@ -174,7 +176,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     def side(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
         return df.select(F.col("doc_id").alias(key), F.col(column).alias(name))
 
-    pairs = stage(pairs, "pairs")
+    pairs = stage(pairs.distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
     wanted = stage(pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct(), "wanted")
     sigs = stage(lookup_join(classes.select("doc_id", "sig"), wanted, ["doc_id"], ["doc_id"]), "sigs")
     with_sigs = pairs.join(side(sigs, "x", "sig", "sx"), "x").join(side(sigs, "y", "sig", "sy"), "y")
@@ -236,23 +240,39 @@ def _open(members: DataFrame) -> DataFrame:
     return lookup_join(members, wide, ["key"], ["doc_id"])
 
 
-def _cross(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key from different components whose set sizes allow a link."""
-    a = members.select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    b = members.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    sizes = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
-    return a.join(b, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sizes).select("x", "y")
+def _fits(percent: int, nx: str, ny: str, rx: str | None = None, ry: str | None = None) -> Column:
+    """Whether sets of these sizes can be similar enough; with ``rx`` and ``ry``, the places of
+    their first common shingle in the order of rarity, whether what is left of them suffices."""
+    nx, ny = F.col(nx), F.col(ny)
+    most = F.least(nx, ny) if rx is None else 1 + F.least(nx - F.col(rx), ny - F.col(ry))
+    return (100 + percent) * most >= percent * (nx + ny)
 
 
-def _by_prefix(hot: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs among the documents ``hot``: all that share one of their rarest shingles."""
+def _cross(members: DataFrame, percent: int, place: str | None = None) -> DataFrame:
+    """Pairs of one key from different components that can be similar enough."""
+    names = {"doc_id": "", "component": "c", "n": "n", **({place: "r"} if place else {})}
+    a, b = (members.select("key", *[F.col(c).alias(p + side) for c, p in names.items()]) for side in "xy")
+    fits = _fits(percent, "nx", "ny", *(("rx", "ry") if place else ()))
+    return a.join(b, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & fits).select("x", "y")
+
+
+def _prefixes(hot: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, n, r): the rarest shingles of the documents ``hot`` that others hold too, and
+    their places ``r`` (from 1) in the order of rarity."""
     each = stage(_shingles(texts, hot).select("doc_id", F.size("s").cast("long").alias("n"), F.explode("s").alias("key")), "hot")
     often = stage(each.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
     rated = lookup_join(each, often, ["key"], ["doc_id"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
     rarest = F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "key"))
     prefix = rated.withColumn("r", rarest).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    shared = prefix.where("f > 1").select("key", "doc_id", "n")
-    return _cross(_open(stage(_known(shared, labels), "prefixes")), percent)
+    return stage(prefix.where("f > 1").select("key", "doc_id", "n", "r"), "prefixes")
+
+
+def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Every member of a key that spans components with the key's hub."""
+    hubs = stage(members.groupBy("key").agg(F.min(F.struct("r", "n", "doc_id", "component")).alias("hub")), "hubs")
+    hubs = hubs.select("key", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("r", "n", "doc_id", "component")])
+    both = lookup_join(members, hubs, ["key"], ["doc_id"]).where(F.col("component") != F.col("hub_component"))
+    return both.where(_fits(percent, "n", "hub_n", "r", "hub_r")).select(F.least("doc_id", "hub_doc_id").alias("x"), F.greatest("doc_id", "hub_doc_id").alias("y"))
 
 
 def near_duplicates(
@@ -284,19 +304,24 @@ def near_duplicates(
         rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), picked.alias("p")).where("m > 1").select("key", F.col("p.star").alias("star")), "buckets"
     )
     members = stage(lookup_join(rows, buckets, ["key"], ["doc_id"]), "members")
-    stars = members.where("doc_id <> star").select(F.least("doc_id", "star").alias("x"), F.greatest("doc_id", "star").alias("y")).distinct()
+    stars = members.where("doc_id <> star").select(F.least("doc_id", "star").alias("x"), F.greatest("doc_id", "star").alias("y"))
     links = _verified(stars, classes, texts, percent, miss)
     labels = components(links)
 
     unsettled = stage(_open(_known(members.drop("star"), labels)), "unsettled")
-    small = _cross(unsettled.where(F.col("m") <= SMALL), percent)
     hot = stage(unsettled.where(F.col("m") > SMALL).select("doc_id").distinct(), "hot-ids")
-    pairs = small
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(_by_prefix(hot, texts, labels, percent))
-    more = _verified(pairs.distinct(), classes, texts, percent, miss)
+    pairs = _cross(unsettled.where(F.col("m") <= SMALL), percent)
+    prefixes = None if hot.isEmpty() else _prefixes(hot, texts, percent)
+    if prefixes:
+        pairs = pairs.unionByName(_hub_pairs(_open(stage(_known(prefixes, labels), "places")), percent))
+    more = _verified(pairs, classes, texts, percent, miss)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = components(links)
+    if prefixes:
+        rest = _verified(_cross(_open(stage(_known(prefixes, labels), "places")), percent, "r"), classes, texts, percent, miss)
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
     named = labels.select(F.col("doc_id").alias("rep"), "component")
     joined = lookup_join(placed, named, ["rep"], ["doc_id"], "left")
     component = F.coalesce("component", "rep")
