@@ -7,6 +7,7 @@ executors and are aggregated there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,6 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    OneVsRest,
 )
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -27,6 +27,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from ..functions.numeric import argmax, hash_key, hash_number, predict_with_thresholds
 from ..plans.joins import class_values
@@ -36,6 +38,7 @@ from ..plans.staging import stage
 from . import evaluation as E
 from .corpus import vocabulary
 from .features import standard_scaled
+from .margins import fit_margins
 from .sampling import SEED, random_split, stratified_split, three_way_split
 
 
@@ -64,18 +67,25 @@ def training_table(
 ) -> Training:
     """Assemble features, number the classes in value order and split the rows.
 
-    ``features`` is a list of numeric columns or the name of one array column.
+    ``features`` lists numeric columns and array columns in any mix, or names one array column; an
+    array gives one feature per entry, and all rows must have the same number of entries.
     """
     classes = class_values(df, label_col)
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label_col)) - 1
-    if isinstance(features, str):
-        size = df.agg(F.max(F.size(features))).first()[0]
-        names = [f"{features}_{i + 1}" for i in range(size)]
-        rows = df.withColumn("features", array_to_vector(F.col(features).cast("array<double>")))
+    columns = [features] if isinstance(features, str) else list(features)
+    arrays = [c for c in columns if isinstance(df.schema[c].dataType, T.ArrayType)]
+    sizes = df.agg(*[F.max(F.size(c)).alias(c) for c in arrays]).first() if arrays else {}
+    names = [n for c in columns for n in ([f"{c}_{i + 1}" for i in range(sizes[c] or 0)] if c in arrays else [c])]
+    shaped = df.select(
+        F.col(id_col).alias("id"),
+        number.cast("double").alias("label"),
+        *[(array_to_vector(F.col(c).cast("array<double>")) if c in arrays else F.col(c)).alias(f"_f{i}") for i, c in enumerate(columns)],
+    )
+    if columns == arrays and len(arrays) == 1:
+        rows = shaped.withColumnRenamed("_f0", "features")
     else:
-        names = list(features)
-        rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(df)
-    rows = rows.select(F.col(id_col).alias("id"), number.cast("double").alias("label"), "features")
+        inputs = [f"_f{i}" for i in range(len(columns))]
+        rows = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error").transform(shaped).drop(*inputs)
     if split == "stratified":
         rows = stratified_split(rows, "id", "label", test_ratio, seed)
     elif split == "random":
@@ -264,15 +274,20 @@ def fourier_features(rows: DataFrame, size: int, dims: int = 256, gamma: float =
 
 
 def fit_svm(training: Training, reg_param: float = 0.01, max_iter: int = 50, tune_on: str = "validation"):
-    """Linear SVM (one against the rest for more than two classes) with F1-optimal thresholds.
+    """Linear SVM with F1-optimal thresholds; more than two classes are fitted together, each
+    against the rest.
 
     Thresholds are tuned on the validation part; ``tune_on='test'`` tunes on the rows that are then
     reported, as is often done.  Returns (model, thresholds per class, predictions).
     """
-    svm = LinearSVC(regParam=reg_param, maxIter=max_iter)
     k = len(training.classes)
-    model = (svm if k == 2 else OneVsRest(classifier=svm, parallelism=4)).fit(training.part("train"))
-    predictions = scored(model, training.table, k)
+    if k == 2:
+        model = LinearSVC(regParam=reg_param, maxIter=max_iter).fit(training.part("train"))
+        predictions = scored(model, training.table, k)
+    else:
+        model = fit_margins(training.part("train"), k, reg_param, max_iter)
+        predictions = model.scored(training.table)
+    predictions = stage(predictions.drop("features"), "svm")
     # few classes; a threshold per class comes to the driver
     tuned = E.best_f1_threshold(sweeps(predictions.where(F.col("split") == tune_on), training), ["class"], ties="lowest")
     found = {int(r["class"]): r["threshold"] for r in tuned.collect()}
@@ -285,26 +300,35 @@ def fit_svm(training: Training, reg_param: float = 0.01, max_iter: int = 50, tun
 
 # ---------------------------------------------------------------- neural and text classifiers
 
-def _log_loss(predictions: DataFrame) -> float:
-    p = F.greatest(F.get("scores", F.col("label").cast("int")), F.lit(1e-15))
-    return predictions.agg(F.avg(-F.log(p))).first()[0]
-
+def choose_by_validation(training: Training, estimators: dict[str, Estimator], parallelism: int = 4) -> tuple[Model, DataFrame]:
+    """Fit every candidate, several at a time, and keep the model with the lowest validation log loss.
 
-def choose_by_validation(training: Training, estimators: dict[str, Estimator]) -> tuple[Model, DataFrame]:
-    """Fit every candidate and keep the model with the lowest validation log loss.
-
-    Returns that model and the losses (candidate, train_loss, validation_loss, chosen).
+    The losses of all candidates come from one scan.  Models without probabilities are refused.
+    Returns the model and the losses (candidate, train_loss, validation_loss, chosen).
     """
-    k, losses, best = len(training.classes), [], None
-    for name, estimator in estimators.items():
-        model = estimator.fit(training.part("train"))
-        loss = _log_loss(scored(model, training.part("validation"), k))
-        losses.append((name, _log_loss(scored(model, training.part("train"), k)), loss))
-        if best is None or loss < best[0]:
-            best = (loss, name, model)
-    spark = training.table.sparkSession
-    table = spark.createDataFrame([(*row, row[0] == best[1]) for row in losses], "candidate string, train_loss double, validation_loss double, chosen boolean")
-    return best[2], table
+    spark, train = training.table.sparkSession, training.part("train")
+
+    @inheritable_thread_target(spark)
+    def fit(estimator: Estimator) -> Model:
+        return estimator.fit(train)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = dict(zip(estimators, pool.map(fit, estimators.values())))
+    rows, losses = training.table.where(F.col("split").isin("train", "validation")), []
+    for i, (name, model) in enumerate(models.items()):
+        if not model.hasParam("probabilityCol"):
+            raise ValueError(f"candidate {name} has no probabilities")
+        kept = {p: model.getOrDefault(p) for p in ("predictionCol", "rawPredictionCol", "probabilityCol")}
+        model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p{i}")
+        rows = model.transform(rows)
+        model.setPredictionCol(kept["predictionCol"]).setRawPredictionCol(kept["rawPredictionCol"]).setProbabilityCol(kept["probabilityCol"])
+        p = F.greatest(F.get(vector_to_array(f"_p{i}"), F.col("label").cast("int")), F.lit(1e-15))
+        losses += [F.avg(F.when(F.col("split") == s, -F.log(p))).alias(f"{s}{i}") for s in ("train", "validation")]
+    found = rows.agg(*losses).first()
+    best = min(range(len(models)), key=lambda i: (found[f"validation{i}"] is None, found[f"validation{i}"] or 0.0))
+    table = [(name, found[f"train{i}"], found[f"validation{i}"], i == best) for i, name in enumerate(models)]
+    schema = "candidate string, train_loss double, validation_loss double, chosen boolean"
+    return list(models.values())[best], spark.createDataFrame(table, schema)
 
 
 def perceptrons(size: int, classes: int, hidden: int = 32, budgets: tuple[int, ...] = (10, 40, 100), seed: int = SEED) -> dict:
@@ -316,9 +340,17 @@ def perceptrons(size: int, classes: int, hidden: int = 32, budgets: tuple[int, .
 
 
 def text_training_table(
-    df: DataFrame, id_col: str, tokens_col: str, label_col: str, dims: int = 1 << 14, split: str = "three_way", seed: int = SEED
+    df: DataFrame, id_col: str, tokens_col: str, label_col: str, dims: int | None = None, split: str = "three_way", seed: int = SEED, min_rows: int = 5
 ) -> Training:
-    """Hashed term counts weighted by inverse document frequency fitted on the train part."""
+    """Hashed term counts weighted by inverse document frequency fitted on the train part.
+
+    Without ``dims`` the hash range is the power of two above twice the number of terms that
+    ``min_rows`` rows hold, so that it grows with the vocabulary; rarer terms share that range.
+    """
+    # the tokens are read for the vocabulary, the classes and the counts
+    df = stage(df.select(id_col, tokens_col, label_col), "tokens")
+    if dims is None:
+        dims = 1 << min(30, max(10, (2 * vocabulary(df, id_col, tokens_col, min_rows, 1.0).count()).bit_length()))
     classes = class_values(df, label_col)
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label_col)) - 1
     hashed = HashingTF(inputCol=tokens_col, outputCol="counts", numFeatures=dims).transform(df)

@@ -26,15 +26,12 @@ SEED = 12345
 TEXT_FEATURES = ["n_chars", "n_tokens", "root_ttr", "digits", "capitals", "lines"]
 
 
-def text_numbers(spark, sf_dir):
-    """Numeric features of the labelled documents and their quality.
-
-    The numbers are taken before the join, so no text is shuffled.
-    """
+def _text_numbers(spark, sf_dir):
+    """Numeric features of every document."""
     words = X.tokens(F.col("text"))
     size = F.greatest(F.length("text"), F.lit(1))
     measured = documents(spark, sf_dir).select("doc_id", "n_chars", "text", words.alias("tokens"))
-    numbers = measured.select(
+    return measured.select(
         "doc_id",
         "n_chars",
         F.size("tokens").alias("n_tokens"),
@@ -43,7 +40,14 @@ def text_numbers(spark, sf_dir):
         (F.regexp_count("text", F.lit("[A-Z]")) / size).alias("capitals"),
         F.regexp_count("text", F.lit("\n")).alias("lines"),
     )
-    return labelled(spark, sf_dir, numbers).drop("toxic")
+
+
+def text_numbers(spark, sf_dir):
+    """Numeric features of the labelled documents and their quality.
+
+    The numbers are taken before the join, so no text is shuffled.
+    """
+    return labelled(spark, sf_dir, _text_numbers(spark, sf_dir)).drop("toxic")
 
 
 def _text_training(spark, sf_dir, split="stratified"):
@@ -54,19 +58,19 @@ def _vector_training(spark, sf_dir, split="stratified"):
     return M.training_table(spread(table(spark, sf_dir, "embeddings")), "vec_id", "label", "embedding", split)
 
 
-def _audit(predictions, classes, prediction="prediction"):
-    """(split, label, n, id_sum, valid, learned) of scored rows (id, label, split, prediction)."""
-    guess = F.col(prediction)
-    counted = predictions.groupBy("split", F.col("label").cast("int").alias("label")).agg(
+def _audit(predictions, classes, *by):
+    """(by, split, label, n, id_sum, valid, learned) of scored rows (by, id, label, split, prediction)."""
+    guess = F.col("prediction")
+    counted = predictions.groupBy(*by, "split", F.col("label").cast("int").alias("label")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("id").alias("id_sum"),
         F.count(F.when((guess >= 0) & (guess < classes) & (guess == F.floor(guess)), 1)).alias("valid"),
         F.count(F.when(guess == F.col("label"), 1)).alias("hits"),
     )
     # one row per split and class is left here
-    whole = Window.partitionBy("split")
+    whole = Window.partitionBy(*by, "split")
     learned = (F.col("split") != "train") | (F.sum("hits").over(whole) >= F.max("n").over(whole))
-    return counted.select("split", "label", "n", "id_sum", "valid", learned.alias("learned"))
+    return counted.select(*by, "split", "label", "n", "id_sum", "valid", learned.alias("learned"))
 
 
 _TEXT = "SELECT doc_id AS id, quality AS y FROM documents JOIN labels USING (doc_id)"
@@ -160,14 +164,19 @@ def svm_classifier(spark, sf_dir):
     parts = []
     for name, training in (("linear", t), ("rbf", lifted)):
         _, _, predictions = M.fit_svm(training, max_iter=20)
-        predictions = stage(predictions, "svm")
-        for kind in ("prediction", "thresholded"):
-            m = _audit(predictions, len(t.classes), kind)
-            parts.append(m.select(F.lit(name).alias("kernel"), F.lit(kind).alias("kind"), *m.columns))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("prediction")) for k in ("prediction", "thresholded")])
+        parts.append(predictions.select(F.lit(name).alias("kernel"), "id", "label", "split", F.inline(kinds)))
+    return _audit(parts[0].unionByName(parts[1]), len(t.classes), "kernel", "kind")
+
+
+@query("mixed_features", _sql_audit("SELECT e.vec_id AS id, e.label AS y FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id", "stratified", ", n_features", "CROSS JOIN (SELECT max(len(embedding)) + 6 AS n_features FROM embeddings)"))
+def mixed_features(spark, sf_dir):
+    """A vector and engineered columns in one model input: embeddings next to numbers of the same id's text."""
+    numbers = _text_numbers(spark, sf_dir).withColumnRenamed("doc_id", "vec_id")
+    both = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").join(numbers, "vec_id")
+    t = M.training_table(both, "vec_id", "label", ["embedding", *TEXT_FEATURES])
+    audit = _audit(M.run_classifier(t, RandomForestClassifier(numTrees=20, maxDepth=6, seed=SEED), "forest").predictions, len(t.classes))
+    return audit.withColumn("n_features", F.lit(len(t.features)))
 
 
 @query("mlp_embeddings", _sql_audit(_VECTOR, "three_way", ", 3 AS candidates"))

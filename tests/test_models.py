@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from lexiqua.operators import models as M
+from lexiqua.operators.margins import Descent
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +68,33 @@ def test_svm_and_kernel(spark, blobs):
     assert accuracy(M.fit_svm(lifted, max_iter=20)[2], "test") > 0.95
 
 
+def test_descent_finds_the_minimum():
+    scale, best = np.array([1.0, 10.0, 100.0]), np.array([3.0, -2.0, 1.0])
+    d = Descent(3, 1e-8)
+    for _ in range(60):
+        d.told(float((scale * (d.aim - best) ** 2).sum()), 2 * scale * (d.aim - best))
+    assert d.done and np.allclose(d.at, best)
+
+
+def test_array_and_columns_make_one_input(spark):
+    df = spark.createDataFrame([(i, i % 2, [float(i), 1.0], float(-i)) for i in range(20)], "id long, c int, v array<double>, x double")
+    t = M.training_table(df, "id", "c", ["v", "x"])
+    assert t.features == ["v_1", "v_2", "x"]
+    assert {r["id"]: r["features"].toArray().tolist() for r in t.table.collect()}[7] == [7.0, 1.0, -7.0]
+
+
+def test_hash_range_grows_with_the_vocabulary(spark):
+    rows = [(i, [f"w{(i * 7 + j) % 3000}" for j in range(40)], i % 2) for i in range(400)]
+    t = M.text_training_table(spark.createDataFrame(rows, "id long, t array<string>, c int"), "id", "t", "c")
+    assert len(t.features) > 2000 and t.table.first()["features"].size == len(t.features)
+
+
+def test_candidates_without_probabilities_are_refused(blobs):
+    t = M.training_table(blobs.where("c <> 'c'"), "id", "c", ["x", "y"], "three_way")
+    with pytest.raises(ValueError):
+        M.choose_by_validation(t, {"svm": LinearSVC(maxIter=2)})
+
+
 def test_grid_search_prefers_depth(blobs):
     t = M.training_table(blobs, "id", "c", ["x", "y"])
     tree = DecisionTreeClassifier(seed=1)
