@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import class_values
 from ..plans.ordering import running_totals
+from ..plans.staging import stage
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -29,19 +29,19 @@ def cell_counts(df: DataFrame, truth: str, prediction: str, group: list[str] = (
 
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """(truth, prediction, n) with every label pair present, zeros included."""
-    counts = cell_counts(df, truth, prediction)
-    labels = class_values(df.select(F.explode(F.array(truth, prediction)).alias("l")), "l")
-    cells = [
-        F.struct(F.lit(p).alias("prediction"), F.coalesce(F.sum(F.when(F.col("prediction") == p, F.col("n"))), F.lit(0)).alias("n"))
-        for p in labels
-    ]
-    # labels that never occur as truth still need their row: seed one zero count for each
-    seeds = df.sparkSession.createDataFrame([(v,) for v in labels], counts.select("truth").schema) if labels else None
-    if seeds is None:
-        return counts
-    padded = counts.unionByName(seeds.withColumn("prediction", F.col("truth")).withColumn("n", F.lit(0).cast("long")))
-    return padded.groupBy("truth").agg(F.array(*cells).alias("cells")).select("truth", F.inline("cells"))
+    """(truth, prediction, n) with every label pair present, zeros included.
+
+    The rows are counted once; labels and zeros come from those counts.  A NULL truth has a row of
+    pairs too where it occurs, a NULL prediction none.
+    """
+    counts = stage(cell_counts(df, truth, prediction), "cells")
+    each = F.explode(F.array("truth", "prediction")).alias("label")
+    labels = counts.select(each).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    truths = labels.select(F.explode("labels").alias("truth")).union(counts.select("truth")).distinct()
+    grid = truths.select("truth", F.explode(labels.scalar()).alias("prediction"))
+    same = F.col("g.truth").eqNullSafe(F.col("c.truth")) & (F.col("g.prediction") == F.col("c.prediction"))
+    joined = grid.alias("g").join(counts.alias("c"), same, "left")
+    return joined.select("g.truth", "g.prediction", F.coalesce("c.n", F.lit(0).cast("long")).alias("n"))
 
 
 def class_counts(df: DataFrame, truth: str, prediction: str, group: list[str] = ()) -> DataFrame:

@@ -25,6 +25,11 @@ def multi_hot(df: DataFrame, list_col: str, prefix: str, values: list[str] | Non
     return df.select(*[c for c in df.columns if c != list_col], *has)
 
 
+def multi_hot_long(df: DataFrame, id_col: str, list_col: str) -> DataFrame:
+    """The ones of a multi-hot table as (id, value) rows, for any number of values; NULLs count as none."""
+    return df.select(id_col, F.explode(F.array_distinct(F.array_compact(list_col))).alias("value"))
+
+
 def entity_counts(df: DataFrame, entities_col: str, types: list[str] | None = None, limit: int = 1000) -> DataFrame:
     """Count of entities per type as ``entity_<TYPE>`` columns."""
     if types is None:

@@ -62,15 +62,20 @@ def top_entities(df: DataFrame, entities_col: str, class_col: str, k: int = 10)
 def category_distribution(df: DataFrame, class_col: str, category_col: str) -> DataFrame:
     """Counts of every category in every class and in 'all', zeros included.
 
-    Classes are few (checked) and known before the count, so each category's row is filled from
-    the class list; no category-class product is joined.
+    The rows are counted once; a category's zeros come from the classes among those counts, however
+    many these are.
     """
-    classes = class_values(df.select(F.col(class_col).cast("string").alias("c")), "c")
-    per_class = [F.count(F.when(F.col(class_col).cast("string") == c, 1)) for c in classes]
-    cells = [F.struct(F.lit(c).alias("class"), n.alias("n")) for c, n in zip(classes, per_class)]
-    cells.append(F.struct(F.lit(ALL).alias("class"), F.count(F.lit(1)).alias("n")))
-    wide = df.groupBy(F.col(category_col).alias("category")).agg(F.array(*cells).alias("cells"))
-    return wide.select("category", F.inline("cells"))
+    counts = stage(
+        df.groupBy(F.col(category_col).alias("category"), F.col(class_col).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n")), "cells"
+    )
+    classes = counts.agg(F.collect_set("class").alias("classes"))
+    # one row per class that the category has
+    mine = counts.groupBy("category").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "n")))).alias("found"), F.sum("n").alias("total")
+    )
+    cells = F.transform("classes", lambda c: F.struct(c.alias("class"), F.coalesce(F.try_element_at("found", c), F.lit(0).cast("long")).alias("n")))
+    every = F.array_append(cells, F.struct(F.lit(ALL).alias("class"), F.col("total").alias("n")))
+    return mine.withColumn("classes", classes.scalar()).select("category", F.inline(every))
 
 
 def bin_index(x: Column, low: Column, high: Column, bins: int) -> Column:
@@ -267,6 +272,9 @@ def remove_outliers(
             row = found.get(c)
             tests.append((c, test(c, row["q1"] if row else None, row["q3"] if row else None)))
     elif mode == "sequential":
+        # the source is read once; every column's round reads the numbers only
+        named = [*columns, keep_col] if keep_col else columns
+        kept = stage(df.select(*named), "numbers")
         for c in columns:
             row = exact_quantiles(kept.select(F.col(c).cast("double").alias("x")), [], "x", names).first()
             tests.append((c, test(c, row["q1"], row["q3"])))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_key, hash_number
-from ..plans.joins import class_values, numbered_copies
+from ..plans.joins import lookup_join, numbered_copies
 from ..plans.neighbours import nearest_in_group
 from ..plans.ordering import flag_by_hash, row_positions
 from ..plans.staging import stage
@@ -61,7 +61,7 @@ def stratified_sample(df: DataFrame, id_col: str, class_col: str, total: int, se
 def validation_split(df: DataFrame, id_col: str, class_col: str, sample_size: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(validation, rest): ``sample_size // classes`` rows per class are set aside.  The rest is the
     complement of the same flag, so no sampled row can stay in it and no anti join is needed."""
-    per_class = sample_size // len(class_values(df, class_col))
+    per_class = sample_size // df.agg(F.countDistinct(class_col).alias("n")).first()["n"]
     flagged = flag_by_hash(_keyed(df, id_col, seed), [class_col], "_key", {"_in": lambda n: F.lit(per_class)}).drop("_key")
     return flagged.where("_in").drop("_in"), flagged.where(~F.col("_in")).drop("_in")
 
@@ -90,11 +90,13 @@ def smote_balanced(
     copies = numbered_copies(stage(class_deficits(members, "_class"), "deficits"), "deficit", "_copy")
     picks = copies.select(
         "_class",
+        "_copy",
         F.pmod(hash_number(F.lit(seed), F.lit("row"), F.col("_class"), F.col("_copy")), F.col("n")).alias("_pos"),
         hash_number(F.lit(seed), F.lit("mate"), F.col("_class"), F.col("_copy")).alias("_mate"),
         (hash_number(F.lit(seed), F.lit("gap"), F.col("_class"), F.col("_copy")) / F.lit(float(16**15))).alias("_gap"),
     )
-    drawn = stage(picks.join(places, ["_class", "_pos"]).drop("_pos"), "drawn")
+    # a small class with a large deficit draws the same members again and again: copies salt the joins
+    drawn = stage(lookup_join(picks, places, ["_class", "_pos"], salt_by=["_copy"]).drop("_pos"), "drawn")
     seeds = members.join(drawn.select("_id").distinct(), "_id", "left_semi")
     near = nearest_in_group(members, seeds, "_class", "_id", "_v", k)
     lists = near.groupBy("_id").agg(
@@ -104,12 +106,10 @@ def smote_balanced(
         F.size("_near") > 0, F.get(F.col("_near.id"), F.pmod(F.col("_mate"), F.size("_near")).cast("int"))
     ).otherwise(F.col("_id"))
     vectors = members.select("_id", "_v")
-    mixed = (
-        drawn.join(lists, "_id", "left")
-        .select("_class", "_id", "_gap", mate.alias("_mate_id"))
-        .join(vectors, "_id")
-        .join(vectors.toDF("_mate_id", "_w"), "_mate_id")
-    )
+    mated = lookup_join(drawn, stage(lists, "lists"), ["_id"], salt_by=["_copy"], how="left")
+    mated = mated.select("_class", "_copy", "_id", "_gap", mate.alias("_mate_id"))
+    seeded = lookup_join(mated, vectors, ["_id"], salt_by=["_copy"])
+    mixed = lookup_join(seeded, vectors.toDF("_mate_id", "_w"), ["_mate_id"], salt_by=["_copy"])
     point = F.zip_with("_v", "_w", lambda x, y: x + (y - x) * F.col("_gap"))
     new = mixed.select(
         F.lit(None).cast(df.schema[id_col].dataType).alias(id_col),

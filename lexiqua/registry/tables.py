@@ -109,6 +109,13 @@ def multi_hot(spark, sf_dir):
     return features.multi_hot(p, "words", "word")
 
 
+@query("multi_hot_long", "SELECT doc_id, w AS value FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> ''")
+def multi_hot_long(spark, sf_dir):
+    """Far more values than a table has columns."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_remove(F.split("text", " "), "").alias("words"))
+    return features.multi_hot_long(d, "doc_id", "words")
+
+
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

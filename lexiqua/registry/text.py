@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,6 +37,7 @@ def _unmark(expr: str) -> str:
     return _sub(one, rf"({_ACCENT})_([A-Za-z0-9])", r"'\1\2'")
 
 
+# fixed values: the same patterns as in functions/text.py
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 _PHONE = r"\b(\+?\d[-.\s()]*\d{3}[-.\s()]*(?:\d{2,}[-.\s()]*)?\d{2,})\b"
 _STREET = (
@@ -267,6 +270,22 @@ def entities(spark, sf_dir):
     return found.groupBy("doc_id", "type", F.col("text").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("annotated_entities", f"WITH {_SQL_ENTITIES} SELECT doc_id, type, entity, count(*) AS n FROM ent GROUP BY ALL")
+def annotated_entities(spark, sf_dir):
+    """The same entities through the hook for annotators that are loaded per language."""
+
+    def load(lang):
+        if lang not in ENTITY_LANGUAGES:
+            return None
+        patterns = [(kind, re.compile(p, re.ASCII)) for kind, p in X.ENTITY_PATTERNS.items()]
+        return lambda texts: texts.map(lambda t: [{"text": m[0], "type": kind} for kind, p in patterns for m in p.finditer(t or "")])
+
+    d = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    found = features.annotate(d, load, "text", "lang", "entities", "array<struct<text string, type string>>")
+    each = found.select("doc_id", F.inline("entities"))
+    return each.groupBy("doc_id", "type", F.col("text").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "entity_counts",
     "SELECT doc_id, " + ", ".join(

@@ -120,3 +120,18 @@ def test_scaling_a_constant_column(spark):
 
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)], "a double, b double")
     assert [tuple(r) for r in standard_scaled(df, ["a", "b"]).collect()] == [(0.0, -1.0), (0.0, 1.0)]
+
+
+def test_confusion_matrix_of_many_and_missing_labels(spark):
+    wide = spark.range(60).select((F.col("id") % 40).alias("t"), F.col("id").alias("p"))
+    assert E.confusion_matrix(wide, "t", "p").count() == 60 * 60
+    odd = spark.createDataFrame([("a", "b"), ("a", None), (None, "b")], "t string, p string")
+    got = {(r["truth"], r["prediction"]): r["n"] for r in E.confusion_matrix(odd, "t", "p").collect()}
+    assert got == {("a", "a"): 0, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 0, (None, "a"): 0, (None, "b"): 1}
+    assert E.confusion_matrix(odd.limit(0), "t", "p").count() == 0
+
+
+def test_categories_of_two_thousand_classes(spark):
+    df = spark.range(4000).select((F.col("id") % 2000).alias("c"), (F.col("id") % 3).alias("k"))
+    out = profile.category_distribution(df, "c", "k")
+    assert out.count() == 3 * 2001 and out.where("class <> 'all'").agg(F.sum("n")).first()[0] == 4000

@@ -93,3 +93,9 @@ def test_empty_copies_drop_out(spark):
 def test_stratified_sample_reads_total(rows, spark):
     assert sampling.stratified_sample(rows, "id", "c", 100).count() in range(97, 101)
     assert sampling.class_sample(rows, "id", "c", 5).count() == 11
+
+
+def test_smote_of_one_member_and_a_large_deficit(spark):
+    df = spark.range(301).select("id", F.when(F.col("id") == 300, "one").otherwise("many").alias("c"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    new = sampling.smote_balanced(df, "id", "c", "v").where("is_synthetic")
+    assert new.count() == 299 and new.select("c", "v").distinct().collect() == [("one", [300.0, 1.0])]
