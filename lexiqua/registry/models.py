@@ -1,9 +1,9 @@
 """Seeded model training on the test tables.
 
-No SQL can fit a model, so each query returns what SQL can state about the fit: which rows and ids
-went into every split and class, that each got a valid prediction or score, and that the model
-does no worse on its training rows than always naming their largest class.  The models' own
-figures are covered by the tests of the operators.
+No SQL can fit a model, so the queries with a model's own figures have no oracle.  Beside each of
+them stands an audit, ``<query>_audit``, that returns what SQL can state about the same fit: which
+rows and ids went into every split and class, that each got a valid prediction or score, and that
+the model does no worse on its training rows than always naming their largest class.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import corpus, features, models as M
+from ..operators import corpus, evaluation, features, models as M
 from ..plans.staging import spread, stage
 from .base import SQL_TERM, documents, labelled, query, sql_key, table, tokenized
 from .corpus import SQL_PICKS
@@ -58,6 +58,14 @@ def _vector_training(spark, sf_dir, split="stratified"):
     return M.training_table(spread(table(spark, sf_dir, "embeddings")), "vec_id", "label", "embedding", split)
 
 
+def _curves(report):
+    """Metrics per split, AUC and best thresholds of one run as (part, name, value)."""
+    m = report.metrics.select(F.col("split").alias("part"), F.col("metric").alias("name"), "value")
+    a = report.auc.select(F.lit("auc").alias("part"), F.col("class").cast("string").alias("name"), F.col("auc").alias("value"))
+    t = report.thresholds.select(F.lit("threshold").alias("part"), F.col("class").cast("string").alias("name"), F.col("threshold").alias("value"))
+    return m.unionByName(a).unionByName(t)
+
+
 def _audit(predictions, classes, *by):
     """(by, split, label, n, id_sum, valid, learned) of scored rows (by, id, label, split, prediction)."""
     guess = F.col("prediction")
@@ -93,52 +101,103 @@ a AS (SELECT split, label, count(*) AS n, sum(id)::BIGINT AS id_sum, count(*) AS
 SELECT a.*{extra} FROM a {cross}"""
 
 
-@query("tree_classifier", _sql_audit(_TEXT, "random"))
-def tree_classifier(spark, sf_dir):
+def _tree(spark, sf_dir):
     t = _text_training(spark, sf_dir, "random")
-    return _audit(M.run_classifier(t, DecisionTreeClassifier(maxDepth=5, seed=SEED), "tree").predictions, 2)
+    return M.run_classifier(t, DecisionTreeClassifier(maxDepth=5, seed=SEED), "tree")
 
 
-@query("tree_grid_search", _sql_audit(_TEXT, "stratified", ", 6 AS candidates"))
-def tree_grid_search(spark, sf_dir):
+@query("tree_classifier")
+def tree_classifier(spark, sf_dir):
+    return _curves(_tree(spark, sf_dir))
+
+
+@query("tree_classifier_audit", _sql_audit(_TEXT, "random"))
+def tree_classifier_audit(spark, sf_dir):
+    return _audit(_tree(spark, sf_dir).predictions, 2)
+
+
+def _tree_grid(spark, sf_dir):
     t = _text_training(spark, sf_dir)
     tree = DecisionTreeClassifier(seed=SEED)
     grid = ParamGridBuilder().addGrid(tree.maxDepth, [2, 4, 6]).addGrid(tree.minInstancesPerNode, [1, 10]).build()
-    search = M.grid_search(t, tree, grid)
+    return t, tree, grid, M.grid_search(t, tree, grid)
+
+
+@query("tree_grid_search")
+def tree_grid_search(spark, sf_dir):
+    _, tree, grid, search = _tree_grid(spark, sf_dir)
+    rows = [
+        (int(g[tree.maxDepth]), int(g[tree.minInstancesPerNode]), float(a), i == int(np.argmax(search.avgMetrics)))
+        for i, (g, a) in enumerate(zip(grid, search.avgMetrics))
+    ]
+    return spark.createDataFrame(rows, "max_depth int, min_rows int, accuracy double, best boolean")
+
+
+@query("tree_grid_search_audit", _sql_audit(_TEXT, "stratified", ", 6 AS candidates"))
+def tree_grid_search_audit(spark, sf_dir):
+    t, _, _, search = _tree_grid(spark, sf_dir)
     # the winner, fitted on all training rows, is scored on train and test
     audit = _audit(M.scored(search.bestModel, t.table, len(t.classes)), len(t.classes))
     return audit.withColumn("candidates", F.lit(len(search.avgMetrics)))
 
 
-@query("tree_complexity_sweep", "SELECT i::INTEGER AS step, round(i * 0.005::DOUBLE, 3) AS strength, true AS plausible FROM range(20) t(i)")
+@query("tree_complexity_sweep")
 def tree_complexity_sweep(spark, sf_dir):
-    swept = M.complexity_sweep(_text_training(spark, sf_dir, "random"), list(np.linspace(0.0, 0.095, 20)))
+    return M.complexity_sweep(_text_training(spark, sf_dir, "random"), list(np.linspace(0.0, 0.095, 20)))
+
+
+@query("tree_complexity_sweep_audit", "SELECT i::INTEGER AS step, round(i * 0.005::DOUBLE, 3) AS strength, true AS plausible FROM range(20) t(i)")
+def tree_complexity_sweep_audit(spark, sf_dir):
+    swept = tree_complexity_sweep(spark, sf_dir)
     fair = F.col("train_accuracy").between(0.5, 1.0) & F.col("test_accuracy").between(0.0, 1.0) & (F.col("nodes") >= 1)
     return swept.select("step", F.round("strength", 3).alias("strength"), fair.alias("plausible"))
 
 
-@query("random_forest", _sql_audit(_VECTOR, "stratified"))
-def random_forest(spark, sf_dir):
+def _forest(spark, sf_dir):
     t = _vector_training(spark, sf_dir)
-    return _audit(M.run_classifier(t, RandomForestClassifier(numTrees=30, maxDepth=6, seed=SEED), "forest").predictions, len(t.classes))
+    return t, M.run_classifier(t, RandomForestClassifier(numTrees=30, maxDepth=6, seed=SEED), "forest")
+
+
+@query("random_forest")
+def random_forest(spark, sf_dir):
+    return _curves(_forest(spark, sf_dir)[1])
+
 
+@query("random_forest_audit", _sql_audit(_VECTOR, "stratified"))
+def random_forest_audit(spark, sf_dir):
+    t, report = _forest(spark, sf_dir)
+    return _audit(report.predictions, len(t.classes))
 
-@query("feature_importance", f"SELECT unnest({TEXT_FEATURES}) AS feature, true AS plausible, 1.0::DOUBLE AS total")
+
+@query("feature_importance")
 def feature_importance(spark, sf_dir):
     t = _text_training(spark, sf_dir)
-    found = M.run_classifier(t, RandomForestClassifier(numTrees=30, seed=SEED), "forest").importance
+    return M.run_classifier(t, RandomForestClassifier(numTrees=30, seed=SEED), "forest").importance.orderBy(F.col("importance").desc(), "feature")
+
+
+@query("feature_importance_audit", f"SELECT unnest({TEXT_FEATURES}) AS feature, true AS plausible, 1.0::DOUBLE AS total")
+def feature_importance_audit(spark, sf_dir):
+    found = feature_importance(spark, sf_dir)
     total = F.round(F.sum("importance").over(Window.partitionBy("model")), 6)
     return found.select("feature", F.col("importance").between(0.0, 1.0).alias("plausible"), total.alias("total"))
 
 
-@query("boosted_trees", _sql_audit(_TEXT, "stratified"))
-def boosted_trees(spark, sf_dir):
+def _boosted(spark, sf_dir):
     t = _text_training(spark, sf_dir)
-    return _audit(M.run_classifier(t, GBTClassifier(maxIter=15, maxDepth=3, seed=SEED), "gbt").predictions, 2)
+    return M.run_classifier(t, GBTClassifier(maxIter=15, maxDepth=3, seed=SEED), "gbt")
 
 
-@query("boosted_trees_multiclass", _sql_audit(_LANG, "stratified"))
-def boosted_trees_multiclass(spark, sf_dir):
+@query("boosted_trees")
+def boosted_trees(spark, sf_dir):
+    return _curves(_boosted(spark, sf_dir))
+
+
+@query("boosted_trees_audit", _sql_audit(_TEXT, "stratified"))
+def boosted_trees_audit(spark, sf_dir):
+    return _audit(_boosted(spark, sf_dir).predictions, 2)
+
+
+def _boosted_languages(spark, sf_dir):
     """One boosted model per language on the text numbers."""
     d = documents(spark, sf_dir).select("doc_id", "lang", "text")
     size = F.greatest(F.length("text"), F.lit(1))
@@ -146,19 +205,38 @@ def boosted_trees_multiclass(spark, sf_dir):
     counted = d.select("doc_id", "lang", *[(F.regexp_count("text", F.lit(p)) / size).alias(n) for n, p in shares.items()])
     t = M.training_table(counted, "doc_id", "lang", list(shares))
     one = OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=SEED), parallelism=4)
-    return _audit(M.run_classifier(t, one, "gbt").predictions, len(t.classes))
+    return t, M.run_classifier(t, one, "gbt")
 
 
-@query("adaboost", _sql_audit(_TEXT, "stratified"))
-def adaboost(spark, sf_dir):
+@query("boosted_trees_multiclass")
+def boosted_trees_multiclass(spark, sf_dir):
+    return _curves(_boosted_languages(spark, sf_dir)[1])
+
+
+@query("boosted_trees_multiclass_audit", _sql_audit(_LANG, "stratified"))
+def boosted_trees_multiclass_audit(spark, sf_dir):
+    t, report = _boosted_languages(spark, sf_dir)
+    return _audit(report.predictions, len(t.classes))
+
+
+def _adaboost(spark, sf_dir):
     t = _text_training(spark, sf_dir)
-    boosted = M.fit_adaboost(t, rounds=10)
-    return _audit(boosted.scores(t.table), 2)
+    return t, M.fit_adaboost(t, rounds=10).scores(t.table)
 
 
-@query("svm_classifier", _sql_audit(_VECTOR, "three_way", ", kernel, kind", "CROSS JOIN (VALUES ('linear'), ('rbf')) k(kernel) CROSS JOIN (VALUES ('prediction'), ('thresholded')) l(kind)"))
-def svm_classifier(spark, sf_dir):
-    """Linear and kernel-approximating SVM on the vectors, plain and thresholded predictions."""
+@query("adaboost")
+def adaboost(spark, sf_dir):
+    t, predictions = _adaboost(spark, sf_dir)
+    return M.metrics_table(predictions, t)
+
+
+@query("adaboost_audit", _sql_audit(_TEXT, "stratified"))
+def adaboost_audit(spark, sf_dir):
+    return _audit(_adaboost(spark, sf_dir)[1], 2)
+
+
+def _svm(spark, sf_dir):
+    """Predictions of a linear and a kernel-approximating SVM on the vectors, plain and thresholded."""
     t = _vector_training(spark, sf_dir, "three_way")
     lifted = M.Training(stage(M.fourier_features(t.table, len(t.features)), "fourier"), t.classes, [f"z{i}" for i in range(256)])
     parts = []
@@ -166,7 +244,18 @@ def svm_classifier(spark, sf_dir):
         _, _, predictions = M.fit_svm(training, max_iter=20)
         kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("prediction")) for k in ("prediction", "thresholded")])
         parts.append(predictions.select(F.lit(name).alias("kernel"), "id", "label", "split", F.inline(kinds)))
-    return _audit(parts[0].unionByName(parts[1]), len(t.classes), "kernel", "kind")
+    return t, parts[0].unionByName(parts[1])
+
+
+@query("svm_classifier")
+def svm_classifier(spark, sf_dir):
+    return evaluation.classification_metrics(_svm(spark, sf_dir)[1], "label", "prediction", ["kernel", "kind", "split"])
+
+
+@query("svm_classifier_audit", _sql_audit(_VECTOR, "three_way", ", kernel, kind", "CROSS JOIN (VALUES ('linear'), ('rbf')) k(kernel) CROSS JOIN (VALUES ('prediction'), ('thresholded')) l(kind)"))
+def svm_classifier_audit(spark, sf_dir):
+    t, predictions = _svm(spark, sf_dir)
+    return _audit(predictions, len(t.classes), "kernel", "kind")
 
 
 @query("mixed_features", _sql_audit("SELECT e.vec_id AS id, e.label AS y FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id", "stratified", ", n_features", "CROSS JOIN (SELECT max(len(embedding)) + 6 AS n_features FROM embeddings)"))
@@ -179,22 +268,46 @@ def mixed_features(spark, sf_dir):
     return audit.withColumn("n_features", F.lit(len(t.features)))
 
 
-@query("mlp_embeddings", _sql_audit(_VECTOR, "three_way", ", 3 AS candidates"))
-def mlp_embeddings(spark, sf_dir):
+def _mlp(spark, sf_dir):
     t = _vector_training(spark, sf_dir, "three_way")
     model, losses = M.choose_by_validation(t, M.perceptrons(len(t.features), len(t.classes)))
-    return _audit(M.scored(model, t.table, len(t.classes)), len(t.classes)).withColumn("candidates", F.lit(losses.count()).cast("int"))
+    return t, M.scored(model, t.table, len(t.classes)), losses
 
 
-@query("text_classifier", _sql_audit(_LANG, "three_way", ", 3 AS candidates"))
-def text_classifier(spark, sf_dir):
+@query("mlp_embeddings")
+def mlp_embeddings(spark, sf_dir):
+    t, predictions, losses = _mlp(spark, sf_dir)
+    lost = losses.select(F.lit("validation").alias("split"), F.col("candidate").alias("metric"), F.col("validation_loss").alias("value"))
+    return M.metrics_table(predictions, t).unionByName(lost)
+
+
+@query("mlp_embeddings_audit", _sql_audit(_VECTOR, "three_way", ", 3 AS candidates"))
+def mlp_embeddings_audit(spark, sf_dir):
+    t, predictions, losses = _mlp(spark, sf_dir)
+    return _audit(predictions, len(t.classes)).withColumn("candidates", F.lit(losses.count()).cast("int"))
+
+
+def _text_model(spark, sf_dir):
     t = M.text_training_table(tokenized(spark, sf_dir, "lang"), "doc_id", "tokens", "lang")
     model, losses = M.choose_by_validation(t, M.logistic_candidates())
+    return t, model, losses
+
+
+@query("text_classifier")
+def text_classifier(spark, sf_dir):
+    t, model, losses = _text_model(spark, sf_dir)
+    predictions = stage(M.scored(model, t.part("test"), len(t.classes)).drop("features"), "predictions")
+    m = evaluation.weighted_eval(predictions, "label", "prediction", "scores", [float(i) for i in range(len(t.classes))])
+    return m.unionByName(losses.select(F.col("candidate").alias("metric"), F.col("validation_loss").alias("value")))
+
+
+@query("text_classifier_audit", _sql_audit(_LANG, "three_way", ", 3 AS candidates"))
+def text_classifier_audit(spark, sf_dir):
+    t, model, losses = _text_model(spark, sf_dir)
     return _audit(M.scored(model, t.table, len(t.classes)), len(t.classes)).withColumn("candidates", F.lit(losses.count()).cast("int"))
 
 
-@query("batch_predictions", "SELECT vec_id, true AS agrees, 1.0::DOUBLE AS total FROM embeddings")
-def batch_predictions(spark, sf_dir):
+def _both_probabilities(spark, sf_dir):
     """Probabilities of a Spark model next to those of an external scorer run on Arrow batches."""
     t = _vector_training(spark, sf_dir)
     model = LogisticRegression(regParam=0.01, maxIter=30).fit(t.part("train"))
@@ -209,52 +322,90 @@ def batch_predictions(spark, sf_dir):
         return score
 
     # the external scorer runs on the rows the Spark model has scored, so nothing is joined
-    inside = M.scored(model, t.table, len(t.classes)).select("id", vector_to_array("features").alias("x"), F.col("scores").alias("p"))
-    both = features.score_batches(inside, load, "q")
+    inside = M.scored(model, t.table, len(t.classes)).select("id", "prediction", vector_to_array("features").alias("x"), F.col("scores").alias("p"))
+    return features.score_batches(inside, load, "q")
+
+
+@query("batch_predictions")
+def batch_predictions(spark, sf_dir):
+    both = _both_probabilities(spark, sf_dir)
+    return both.select(
+        F.col("id").alias("vec_id"), "prediction", F.round(F.array_max("p"), 6).alias("spark_prob"), F.round(F.array_max("q"), 6).alias("external_prob")
+    )
+
+
+@query("batch_predictions_audit", "SELECT vec_id, true AS agrees, 1.0::DOUBLE AS total FROM embeddings")
+def batch_predictions_audit(spark, sf_dir):
+    both = _both_probabilities(spark, sf_dir)
     apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda a, x: F.greatest(a, x))
     total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
     return both.select(F.col("id").alias("vec_id"), (apart < 1e-9).alias("agrees"), F.round(total, 6).alias("total"))
 
 
-@query("permutation_importance", f"SELECT unnest({TEXT_FEATURES}) AS feature, true AS plausible")
+@query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     t = _text_training(spark, sf_dir)
     model = RandomForestClassifier(numTrees=20, seed=SEED).fit(t.part("train"))
-    found = M.permutation_importance(model, t.part("test"), t.features, repeats=10)
+    return M.permutation_importance(model, t.part("test"), t.features, repeats=10)
+
+
+@query("permutation_importance_audit", f"SELECT unnest({TEXT_FEATURES}) AS feature, true AS plausible")
+def permutation_importance_audit(spark, sf_dir):
+    found = permutation_importance(spark, sf_dir)
     return found.select("feature", (F.col("mean").between(-1.0, 1.0) & (F.col("std") >= 0)).alias("plausible"))
 
 
-@query("pca_projection", "SELECT vec_id, label, true AS finite FROM embeddings")
+@query("pca_projection")
 def pca_projection(spark, sf_dir):
     e = features.embedding_columns(spread(table(spark, sf_dir, "embeddings")), "embedding")
     columns = [c for c in e.columns if c.startswith("col_embedding_")]
-    parts = M.pca_projection(e, ["vec_id", "label"], columns, 3)
+    return M.pca_projection(e, ["vec_id", "label"], columns, 3)
+
+
+@query("pca_projection_audit", "SELECT vec_id, label, true AS finite FROM embeddings")
+def pca_projection_audit(spark, sf_dir):
+    parts = pca_projection(spark, sf_dir)
     return parts.select("vec_id", "label", (F.abs(F.col("PC1") + F.col("PC2") + F.col("PC3")) < 1e6).alias("finite"))
 
 
 # ---------------------------------------------------------------- topics
 
-@query("lda_topics", "SELECT t::INTEGER AS topic, (r + 1)::INTEGER AS rank, true AS ordered FROM range(10) a(t), range(10) b(r)")
+@query("lda_topics")
 def lda_topics(spark, sf_dir):
-    terms = M.fit_topics(tokenized(spark, sf_dir), "doc_id", "tokens", k=10, passes=5).terms(10)
+    return M.fit_topics(tokenized(spark, sf_dir), "doc_id", "tokens", k=10, passes=5).terms(10)
+
+
+@query("lda_topics_audit", "SELECT t::INTEGER AS topic, (r + 1)::INTEGER AS rank, true AS ordered FROM range(10) a(t), range(10) b(r)")
+def lda_topics_audit(spark, sf_dir):
+    terms = lda_topics(spark, sf_dir)
     before = F.lag("weight", 1, 1.0).over(Window.partitionBy("topic").orderBy("rank"))
     return terms.select("topic", "rank", ((F.col("weight") > 0) & (F.col("weight") <= before)).alias("ordered"))
 
 
-@query("dominant_topic", "SELECT doc_id, true AS plausible FROM documents")
+@query("dominant_topic")
 def dominant_topic(spark, sf_dir):
     t = M.fit_topics(tokenized(spark, sf_dir), "doc_id", "tokens", k=10, passes=5).dominant()
+    return t.select(F.col("id").alias("doc_id"), "topic", "share")
+
+
+@query("dominant_topic_audit", "SELECT doc_id, true AS plausible FROM documents")
+def dominant_topic_audit(spark, sf_dir):
     fair = F.col("topic").between(0, 9) & F.col("share").between(0.1 - 1e-9, 1 + 1e-9)
-    return t.select(F.col("id").alias("doc_id"), fair.alias("plausible"))
+    return dominant_topic(spark, sf_dir).select("doc_id", fair.alias("plausible"))
 
 
-@query("augmented_word_vectors", f"""WITH {SQL_TERM}, {SQL_PICKS}
-SELECT p.lang, copy, doc_id AS source_id, true AS is_new, len(tokens)::INTEGER AS n_tokens FROM pick p JOIN tok USING (doc_id) WHERE len(tokens) > 0
-UNION ALL SELECT lang, NULL, doc_id, false, len(tokens)::INTEGER FROM tok""")
+@query("augmented_word_vectors")
 def augmented_word_vectors(spark, sf_dir):
     """Augmentation that replaces words by their closest word vector."""
     t = stage(tokenized(spark, sf_dir, "lang"), "tokens")
     neighbours = M.word_neighbours(t, "tokens")
-    made = corpus.balanced_corpus(t, "doc_id", "tokens", "lang", neighbours)
+    return corpus.balanced_corpus(t, "doc_id", "tokens", "lang", neighbours)
+
+
+@query("augmented_word_vectors_audit", f"""WITH {SQL_TERM}, {SQL_PICKS}
+SELECT p.lang, copy, doc_id AS source_id, true AS is_new, len(tokens)::INTEGER AS n_tokens FROM pick p JOIN tok USING (doc_id) WHERE len(tokens) > 0
+UNION ALL SELECT lang, NULL, doc_id, false, len(tokens)::INTEGER FROM tok""")
+def augmented_word_vectors_audit(spark, sf_dir):
+    made = augmented_word_vectors(spark, sf_dir)
     n = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
     return made.select("lang", "copy", "source_id", "is_new", n.alias("n_tokens"))
