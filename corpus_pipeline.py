@@ -15,9 +15,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without cross-site boilerplate lines; n_chars follows the text."""
-    return lines.without_boilerplate(docs, chars="n_chars" if "n_chars" in docs.columns else None)
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_emptied: bool = True) -> DataFrame:
+    """All documents, without cross-site boilerplate lines; n_chars follows the text.
+
+    ``keep_emptied=False`` drops documents that lost every worded line to a first place elsewhere.
+    """
+    return lines.without_boilerplate(docs, chars="n_chars" if "n_chars" in docs.columns else None, keep_emptied=keep_emptied)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +50,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, keep_emptied: bool = True) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+        options = {"keep_emptied": keep_emptied} if function is line_dedup else {}
+        docs = stage(function(spark, docs, sf_dir, **options), name)
     return docs

@@ -63,11 +63,19 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id"
 
 
 def without_boilerplate(
-    docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source", chars: str | None = None
+    docs: DataFrame,
+    min_sites: int = MIN_SITES,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    site: str = "source",
+    chars: str | None = None,
+    keep_emptied: bool = True,
 ) -> DataFrame:
     """``docs`` with the lines removed; ``chars``, if named, gets the new text's length.
 
-    All rows stay, also those left without a line.  A null text stays null, a null site counts as
+    All rows stay, also those left without a line.  With ``keep_emptied=False`` a row goes if it
+    lost every line that had a word; each of these stays at its first place in another row.  Rows
+    that never had a word stay in either case.  A null text stays null, a null site counts as
     one site without name, rows without ``doc_id`` stay as they are.  Rows that repeat an id lose
     the same line numbers.  Other columns pass through; an empty table gives an empty one.
     """
@@ -76,6 +84,9 @@ def without_boilerplate(
     joined = docs.join(found, docs[doc_id] == F.col(key), "left")
     kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    if not keep_emptied:
+        # lines are numbered in "gone" only if they have a word, so such a row had one
+        joined = joined.where(F.col(gone).isNull() | F.exists(kept, lambda line: F.regexp_replace(line, WORD_BREAKS, "") != ""))
     columns = {text: cleaned, **({chars: F.length(cleaned).cast(docs.schema[chars].dataType)} if chars else {})}
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 

@@ -46,6 +46,22 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert got == want and leaked and len(single) < len(cleaned) < len(rows) and source
 
 
+def test_copies_over_many_sources_leave_one_document(spark, tmp_path):
+    rng = random.Random(17)
+    text = "\n".join(prose(30, rng) for _ in range(4))
+    own = {100 + k: prose(30, rng) for k in range(2)}
+    rows = [(d, text, f"s{d % 12}") for d in range(36)] + [(d, f"{text}\n{line}", f"s{d % 12}") for d, line in own.items()]
+    rows += [(200, None, "s1"), (201, " \n\t", "s2"), (202, prose(60, rng), "s3")]
+    frame = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, prose(30, rng))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cleaned = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame, str(tmp_path), keep_emptied=False).collect()}
+    # blank rows had no word to lose; near copies keep the line of their own
+    assert cleaned == {0: text, **own, **{d: t for d, t, _ in rows if d >= 200}}
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path), keep_emptied=False).collect()}
+    assert {d for d in got if d < 36} == {0} and {d for d in corpus_pipeline.run(spark, str(tmp_path)).toPandas()["doc_id"] if d < 36} == set(range(36))
+
+
 def test_every_stage_but_the_last_keeps_the_columns(spark, small):
     documents = spark.read.parquet(f"{small}/documents.parquet").limit(40)
     for name, function in corpus_pipeline.STAGES[:-1]:
