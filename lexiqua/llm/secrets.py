@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and assignments read as source or configuration syntax.
 
-The lexer turns ``name = value`` (also ``:``, ``:=``, ``=>``, quoted names) into name-literal
-pairs.  Names that are assigned another name take over its literal, and literals joined by ``+``
-are folded, so a secret is found where it is written even if a harmless name held it first.
+The lexer turns ``name = value`` (also ``:``, ``:=``, ``=>``, quoted names, quoted subscripts,
+typed declarations and chains ``a = b = value``) into name-literal pairs.  Names that are assigned
+another name take over its literal, that known so far or else the next one defined, and literals
+joined by ``+`` are folded, so a secret is found where it is written even if a harmless name held it first.
 A literal is reported if the name it reaches is sensitive and the literal looks random enough.
 """
 
@@ -27,11 +28,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 
+#: A type between a name and "=", as in "name: str | None = ..." and "name: Map<string> = ...".
+_TYPE = r"""[A-Za-z_][\w.]*+(?:[\[<][^=\n"']{0,80}[\]>])?\??"""
+#: A further target, as in "a = b = ..." and "a = b["c"] = ...".
+_TARGET = r"""[A-Za-z_][\w.]*+(?:\[["'][\w.-]++["']\])?+"""
+#: Repetitions are bounded, so that long runs of targets are scanned in linear time.
 PAIR = re.compile(
-    r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)["']?[ \t]*+(?:=>|:=|[=:](?!=))[ \t]*+"""
+    r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)(?:["'][ \t]*+\]|["']?)[ \t]*+"""
+    rf"""(?::[ \t]*+{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE}){{0,4}}[ \t]*+(?==(?![=>])))?(?:=>|:=|[=:](?!=))[ \t]*+"""
+    rf"""(?P<chain>(?:{_TARGET}[ \t]++=(?![=>])[ \t]*+){{0,16}}(?:(?:{_TARGET}=){{1,16}}(?=["']))?)"""
     r"""(?P<value>(?:"[^"\n]*+"|'[^'\n]*+'|[\w$+/.={}-]++)(?:[ \t]*+\+[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[\w.]++))*+)""",
     re.A,
 )
+#: The name of a further target: what a subscript quotes, or else the identifier.
+TARGET = re.compile(r"""[A-Za-z_][\w.]*+\[["']([\w.-]++)["']\]|([A-Za-z_][\w.]*+)""", re.A)
 PART = re.compile(r""""([^"\n]*+)"|'([^'\n]*+)'|\$?\{?([A-Za-z_][\w.]*+)\}?(?=[ \t]*+(?:\+|$))|([^\s"']++)""", re.A)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: How telling the words of a name are; the largest counts, and both halves of a compound add up.
@@ -78,24 +88,36 @@ def literal_score(value: str) -> float:
 
 def pairs(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
     """(name, literal value, spans of its parts) of every assignment, constants propagated."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+    # with the name that a value is, if that has no value so far
+    known: dict[str, tuple[str, tuple[tuple[int, int], ...], str | None]] = {}
     found = []
     for m in PAIR.finditer(text):
-        value, spans = "", ()
+        value, spans, unknown = "", (), None
         for part in PART.finditer(m["value"]):
             if part[4] == "+":
                 continue
             if part[3] is not None:
                 if part[3] in known:
-                    value, spans = value + known[part[3]][0], spans + known[part[3]][1]
+                    more, places, unset = known[part[3]]
+                    unknown = unset if part.end() == len(m["value"]) and not spans else None
+                    value, spans = value + more, spans + places
                     continue
                 if part.end() < len(m["value"]) or spans:
                     continue
+                unknown = part[3]
             group = next(g for g in (1, 2, 3, 4) if part[g] is not None)
             at = m.start("value")
             value, spans = value + part[group], (*spans, (at + part.start(group), at + part.end(group)))
-        known[m["name"]] = (value, spans)
-        found.append((m["name"], value, spans))
+        for name in [m["name"], *(a or b for a, b in TARGET.findall(m["chain"]))]:
+            known[name] = (value, spans, unknown)
+            found.append((name, *known[name]))
+    # names used before they have a value take the next one, from the last pair backwards
+    later: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+    for i in range(len(found) - 1, -1, -1):
+        name, value, spans, unknown = found[i]
+        value, spans = later.get(unknown, (value, spans))
+        later[name] = (value, spans)
+        found[i] = (name, value, spans)
     return found
 
 

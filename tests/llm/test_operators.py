@@ -135,6 +135,24 @@ def test_secret_lexer_propagates_constants():
     assert secrets.scan(["password_hint = 'changeme-please1'"])["n_lexed"] == [0]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'db_pwd: str = "k9Xw2LmQ7v1Z"', 'db_pwd: str | None = "k9Xw2LmQ7v1Z"', 'const apiPwd: Map<string, string> = "k9Xw2LmQ7v1Z"', 'let apiPwd: string[] = "k9Xw2LmQ7v1Z"',
+        'os.environ["DB_PWD"] = "k9Xw2LmQ7v1Z"', "a['b']['db_pwd'] = 'k9Xw2LmQ7v1Z'", 'db_pwd = b = "k9Xw2LmQ7v1Z"', 'a=db_pwd=b="k9Xw2LmQ7v1Z"',
+        'a = cfg["db_pwd"] = "k9Xw2LmQ7v1Z"', 'db_pwd = alpha\nalpha = "k9Xw2LmQ7v1Z"', 'db_pwd = a\na = b\nb = "k9Xw2LmQ7v1Z"', "db_pwd=k9Xw2LmQ7v1Z", "alpha = k9Xw2LmQ7v1Z\ndb_pwd = alpha",
+    ],
+)
+def test_secret_lexer_reads_every_form_of_assignment(text):
+    at = text.index("k9Xw2LmQ7v1Z")
+    assert secrets.lexed_spans(text, []) == [(at, at + 12, "lexed")]
+
+
+def test_secret_lexer_is_linear_in_new_forms():
+    for text in ("a = " * 80_000, "a=" * 150_000, "a: b | " * 40_000, "a: b[" * 60_000, "".join(f"a{i} = a{i + 1}\n" for i in range(20_000))):
+        secrets.scan([text])
+
+
 def test_secret_scan_is_linear_in_long_runs():
     for text in ("a" * 300_000 + "=x", "=" * 300_000, "0" * 300_000, "token " * 30_000):
         secrets.scan([text])
