@@ -23,12 +23,14 @@ BUCKETS, NEAR = 12, 0.1
 KEY = ["h1", "h2"]
 
 
-def site_lines(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """(doc_id, site, line_no, h1, h2): the lines with a word, trimmed and hashed to 96 bits."""
+def site_lines(docs: DataFrame, doc_id: str, text: str, site: str, min_words: int = 1) -> DataFrame:
+    """(doc_id, site, line_no, h1, h2): the lines with ``min_words`` words, at least one, trimmed and hashed to 96 bits."""
     lines = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     )
     bare = lines.withColumn("line", F.regexp_replace("line", rf"^{WORD_BREAKS}|{WORD_BREAKS}$", ""))
+    if min_words > 1:
+        bare = bare.where(F.size(F.split("line", WORD_BREAKS)) >= min_words)
     return bare.where((F.col("line") != "") & F.col("doc_id").isNotNull()).select(
         "doc_id", "site", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")
     )
@@ -53,9 +55,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return guessed.where(sure).select(*KEY, "first").unionByName(guessed.join(exact, KEY).select(*KEY, "first"))
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_words: int = 1) -> DataFrame:
     """(doc_id, gone): for documents that lose lines, the numbers of these, from 0."""
-    lines = stage(site_lines(docs, doc_id, text, site), "lines")
+    lines = stage(site_lines(docs, doc_id, text, site, min_words), "lines")
     found = stage(boilerplate(lines, min_sites), "boilerplate")
     hits = lookup_join(lines, found, KEY, ["doc_id"])
     later = hits.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no")))
@@ -70,22 +72,23 @@ def without_boilerplate(
     site: str = "source",
     chars: str | None = None,
     keep_emptied: bool = True,
+    min_words: int = 1,
 ) -> DataFrame:
     """``docs`` with the lines removed; ``chars``, if named, gets the new text's length.
 
-    All rows stay, also those left without a line.  With ``keep_emptied=False`` a row goes if it
+    Lines of fewer than ``min_words`` words always stay.  All rows stay, also those left without a line.  With ``keep_emptied=False`` a row goes if it
     lost every line that had a word; each of these stays at its first place in another row.  Rows
     that never had a word stay in either case.  A null text stays null, a null site counts as
     one site without name, rows without ``doc_id`` stay as they are.  Rows that repeat an id lose
     the same line numbers.  Other columns pass through; an empty table gives an empty one.
     """
     gone, key = unused(docs, "_gone"), unused(docs, "_key")
-    found = removals(docs, min_sites, doc_id, text, site).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    found = removals(docs, min_sites, doc_id, text, site, min_words).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     joined = docs.join(found, docs[doc_id] == F.col(key), "left")
     kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     if not keep_emptied:
-        # lines are numbered in "gone" only if they have a word, so such a row had one
+        # lines in "gone" had a word, so such a row had one
         joined = joined.where(F.col(gone).isNull() | F.exists(kept, lambda line: F.regexp_replace(line, WORD_BREAKS, "") != ""))
     columns = {text: cleaned, **({chars: F.length(cleaned).cast(docs.schema[chars].dataType)} if chars else {})}
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])

@@ -387,6 +387,13 @@ def test_lines_equal_brute_force(spark):
     assert lines.without_boilerplate(docs(spark, []), 2).count() == 0
 
 
+def test_short_lines_stay_on_request(spark):
+    long = "a line of five words"
+    rows = [(i, f"And more.\n{long}\nrow {i}", f"s{i}") for i in range(9)]
+    got = {r["doc_id"]: r["text"] for r in lines.without_boilerplate(docs(spark, rows), min_words=4).collect()}
+    assert got == {0: rows[0][1]} | {i: f"And more.\nrow {i}" for i in range(1, 9)}
+
+
 # ---------------------------------------------------------------- shards
 
 def check_shards(rows, frame, n, slack):
