@@ -12,9 +12,9 @@
    far, documents leave as soon as what remains of either side cannot suffice, or when all that is
    below the node belongs to their component already.  What reaches an end is compared exactly.
 5. First every document goes below its first branch only.  That joins most groups of near copies.
-   Then the branches whose documents are still in different components are passed in full.
-   Large branches are cut into parts of bounded weight, and parts of different components meet
-   two by two.
+   Then the branches whose documents are still in different components are passed in full,
+   branches with common documents together.  Large branches are cut into parts of bounded weight,
+   and parts of different components meet two by two.
 """
 
 from __future__ import annotations
@@ -181,35 +181,56 @@ def _first_branches(sets: DataFrame) -> DataFrame:
 
 
 def _open_branches(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every document below all its branches that hold several components.
+    """Groups that hold every document of a branch with several components.
+
+    Branches with common documents form clusters.  A cluster within the weight of a part is one
+    group, in which each document stands once with its whole path.  In larger clusters every branch
+    is a group of its own.
+    """
+    named = lookup_join(sets, labels, ["doc_id"], ["doc_id"], "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = stage(named.select("doc_id", "n", "component", "path", F.size("path").alias("size")), "named")
+    first = F.expr("slice(path, 1, spare + 1 - (n - size))")
+    spread = named.withColumn("spare", _spare(percent).cast("int")).select("doc_id", "component", "size", F.posexplode(first).alias("at", "key"))
+    spans = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("one"))
+    open_ = stage(spans.where("lo <> hi").select("key", "one"), "open")
+    members = stage(lookup_join(spread, open_, ["key"], ["doc_id"]), "members")
+    touch = members.where("doc_id <> one").select(F.col("one").alias("x"), F.col("doc_id").alias("y")).distinct()
+    clusters = components(stage(touch, "touch")).withColumnRenamed("component", "cluster")
+    sizes = lookup_join(named.select("doc_id", "size"), clusters, ["doc_id"], ["doc_id"])
+    weights = stage(sizes.groupBy("cluster").agg(F.sum(F.col("size") + EACH).alias("w")), "weights")
+    dealt = stage(lookup_join(clusters, weights, ["cluster"], ["doc_id"]).select("doc_id", "cluster", (F.col("w") <= WEIGHT).alias("whole")), "clusters")
+    whole = lookup_join(named, stage(dealt.where("whole"), "whole"), ["doc_id"], ["doc_id"])
+    groups = whole.select(F.col("cluster").alias("key"), F.lit(-1).alias("part"), "doc_id", "n", "component", "path")
+    large = stage(dealt.where("NOT whole").select("doc_id"), "large")
+    return groups if large.isEmpty() else groups.union(_parts(named, lookup_join(members, large, ["doc_id"], ["key"])))
+
+
+def _parts(named: DataFrame, members: DataFrame) -> DataFrame:
+    """Every document below its branches (key), from their place in its path on.
 
     The documents of a branch's largest component and the others are dealt into parts by weight.
     Parts of others meet all parts, those of the largest component only parts of others.
     """
-    named = lookup_join(sets, labels, ["doc_id"], ["doc_id"], "left").withColumn("component", F.coalesce("component", "doc_id"))
-    named = stage(named.select("doc_id", "n", "component", "path"), "named")
-    first = F.expr("slice(path, 1, spare + 1 - (n - size(path)))")
-    spread = named.withColumn("spare", _spare(percent).cast("int")).select("doc_id", "n", "component", "path", F.posexplode(first).alias("at", "key"))
-    weight = F.sum(F.size("path") - F.col("at") + EACH)
-    each = spread.groupBy("key", "component").agg(weight.alias("w"))
-    sums = each.groupBy("key").agg(F.sum("w").alias("w"), F.max(F.struct("w", "component")).alias("top"), F.count(F.lit(1)).alias("m"))
+    each = members.groupBy("key", "component").agg(F.sum(F.col("size") - F.col("at") + EACH).alias("w"))
+    sums = each.groupBy("key").agg(F.sum("w").alias("w"), F.max(F.struct("w", "component")).alias("top"))
     others = F.ceil((F.col("w") - F.col("top.w")) / WEIGHT)
-    open_ = sums.where("m > 1").select(
+    plans = sums.select(
         "key", F.col("top.component").alias("top"), F.when(F.col("w") <= WEIGHT, 0).otherwise(others).cast("int").alias("others"),
         F.ceil(F.col("top.w") / WEIGHT).cast("int").alias("tops"),
     )
-    found = lookup_join(spread, stage(open_, "open"), ["key"], ["doc_id"])
-    h = F.xxhash64("doc_id")
+    found = lookup_join(members, stage(plans, "plans"), ["key"], ["doc_id"])
+    deal = F.when(F.col("component") == F.col("top"), F.col("tops")).otherwise(F.col("others"))
+    found = found.withColumn("mine", F.when(F.col("others") > 0, F.pmod(F.xxhash64("doc_id"), deal)).cast("int"))
     # part numbers: a pair of others' parts i <= j is i * others + j, others' part i with top part k is others^2 + i * tops + k
-    found = found.withColumn("mine", F.when(F.col("others") > 0, F.pmod(h, F.when(F.col("component") == F.col("top"), F.col("tops")).otherwise(F.col("others")))).cast("int"))
     of_top = F.expr("transform(sequence(0, others - 1), i -> others * others + i * tops + mine)")
     of_other = F.expr(
         "concat(transform(sequence(0, others - 1), j -> least(mine, j) * others + greatest(mine, j)), "
         "transform(sequence(0, tops - 1), k -> others * others + mine * tops + k))"
     )
     parts = F.when(F.col("others") == 0, F.array(F.lit(0))).when(F.col("component") == F.col("top"), of_top).otherwise(of_other)
-    path = F.expr("slice(path, at + 1, size(path))")
-    return found.select("key", F.explode(parts).alias("part"), "doc_id", "n", "component", path.alias("path"))
+    groups = found.select("key", "at", "doc_id", F.explode(parts).alias("part"))
+    with_paths = lookup_join(groups, named.select("doc_id", "n", "component", "path"), ["doc_id"], ["key", "part"])
+    return with_paths.select("key", "part", "doc_id", "n", "component", F.expr("slice(path, at + 1, size(path))").alias("path"))
 
 
 def _held_elsewhere(rows: DataFrame) -> DataFrame:
