@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, lines, neardup, periodic, pii, prefixtree, quality, secrets, shards, warc
+from . import bpe, chat, collocations, decontam, lines, neardup, periodic, pii, prefixtree, quality, secrets, shards, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -63,11 +63,15 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat, op2_secrets, op3_pii, op4_decontaminate, op5_quality, op6_bpe, op7_shards, op8_lines, op9_near_duplicates, op10_warc,
-        op11_periodic_runs, op12_ngram_join,
+        op11_periodic_runs, op12_ngram_join, op13_collocations,
     )
 }
 ORACLES: dict[str, str] = {
@@ -78,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op10_warc": warc.SQL,
     "op11_periodic_runs": periodic.SQL,
     "op12_ngram_join": prefixtree.SQL,
+    "op13_collocations": collocations.SQL,
 }
