@@ -38,6 +38,8 @@ PERCENT = 80
 SHARE = 3
 #: Shingles of a part of a branch; a document counts as so many more.
 WEIGHT, EACH = 300_000, 200
+#: Holders of one shingle that a join leaves in one task.
+HOT = 250_000
 
 SKETCH = T.StructType(
     [T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))]
@@ -233,16 +235,26 @@ def _parts(named: DataFrame, members: DataFrame) -> DataFrame:
     return with_paths.select("key", "part", "doc_id", "n", "component", F.expr("slice(path, at + 1, size(path))").alias("path"))
 
 
-def _held_elsewhere(rows: DataFrame) -> DataFrame:
-    """The rows (doc_id, key) whose key others hold too, with the number of holders ``f``."""
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    return lookup_join(rows, stage(often, "often"), ["key"], ["doc_id"])
+def _held_elsewhere(rows: DataFrame, row: list[str]) -> DataFrame:
+    """The rows (``row``, key) whose key others hold too, with the number of holders ``f``.
+
+    Counting and joining shuffle by key at every size.  A key of very many holders is split by row,
+    and its count copied; how many parts it takes the counts say already.
+    """
+    often = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
+    hot = stage(often.where(F.col("f") > HOT).select("key", F.ceil(F.col("f") / HOT).cast("int").alias("parts")), "hot")
+    if hot.isEmpty():
+        return rows.join(often.hint("shuffle_hash"), "key")
+    hot = small_side(hot)
+    split = rows.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64(*row), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = often.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return split.join(copies.hint("shuffle_hash"), ["key", "salt"]).drop("salt")
 
 
 def _paths(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, path) of the documents that can link: their shingles that others hold, by rarity."""
     row = ["doc_id", "digest"]
-    matched = _held_elsewhere(classes.select(*row, F.explode("low").alias("key"))).groupBy(*row).agg(F.count(F.lit(1)).alias("matched"))
+    matched = _held_elsewhere(classes.select(*row, F.explode("low").alias("key")), row).groupBy(*row).agg(F.count(F.lit(1)).alias("matched"))
     sizes = classes.select(*row, F.col("n").alias("size"), F.size("low").alias("low"))
     left = sizes.join(matched, row, "left").where(F.col("low") - F.coalesce("matched", F.lit(0)) <= _spare(percent, "size"))
     alive = stage(left.select("doc_id").distinct(), "alive")
@@ -250,7 +262,7 @@ def _paths(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     each = sets.select(*row, F.size("s").cast("long").alias("n"), F.explode("s").alias("key"))
     # the class of rarity (powers of two) above 59 bits of the hash: one number to sort by
     rank = F.shiftleft(F.least(F.floor(F.log2("f")), F.lit(15)).cast("long"), 59).bitwiseOR(F.shiftrightunsigned("key", 5))
-    held = _held_elsewhere(each).groupBy(*row).agg(F.first("n").alias("n"), F.sort_array(F.collect_set(rank)).alias("path"))
+    held = _held_elsewhere(each, row).groupBy(*row).agg(F.first("n").alias("n"), F.sort_array(F.collect_set(rank)).alias("path"))
     return stage(held.where(F.col("n") - F.size("path") <= _spare(percent)).select("doc_id", "n", "path"), "paths")
 
 

@@ -86,6 +86,7 @@ def test_components_equal_all_pairs(spark, monkeypatch, weight):
 
 def test_components_without_broadcast(spark, monkeypatch):
     plain = prefixtree.lookup_join
+    monkeypatch.setattr(prefixtree, "HOT", 5)
     monkeypatch.setattr(prefixtree, "lookup_join", lambda *a, **k: plain(*a, **{**k, "limit": -1, "hot": 5}))
     rows = corpus(random.Random(9))
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
