@@ -84,7 +84,7 @@ def without_boilerplate(
     """
     gone, key = unused(docs, "_gone"), unused(docs, "_key")
     found = removals(docs, min_sites, doc_id, text, site, min_words).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
-    joined = docs.join(found, docs[doc_id] == F.col(key), "left")
+    joined = lookup_join(docs.withColumn(key, F.col(doc_id)), stage(found, "gone"), [key], [text], "left")
     kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     if not keep_emptied:

@@ -98,21 +98,40 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Inflated:
-    """Bytes of a gzip stream (of one or several members) as they are asked for."""
+    """Bytes of a gzip stream (of one or several members) as they are asked for.
+
+    A member that ends early is an EOFError, so nothing is lost in silence.  Zero bytes after the
+    last member are padding; anything else there is a ValueError.  A file without a byte is empty.
+    """
 
     def __init__(self, source: BinaryIO) -> None:
-        self.source, self.codec, self.rest = source, zlib.decompressobj(31), bytearray()
+        self.source, self.codec, self.rest = source, None, bytearray()
 
     def _more(self) -> bool:
         data = b""
-        if self.codec.eof:
-            data, self.codec = self.codec.unused_data, zlib.decompressobj(31)
+        if self.codec is not None and self.codec.eof:
+            data, self.codec = self.codec.unused_data, None
         data = data or self.source.read(CHUNK)
+        if self.codec is None:
+            data = self._next_member(data)
         if not data:
+            if self.codec is not None:
+                raise EOFError("the gzip stream ends within a member")
             return False
-        self.rest += self.codec.decompress(data)
+        try:
+            self.rest += self.codec.decompress(data)
+        except zlib.error as e:
+            raise ValueError(f"damaged gzip stream: {e}") from e
         return True
 
+    def _next_member(self, data: bytes) -> bytes:
+        """``data`` from the first byte of the next member on, or nothing at the end."""
+        while data and not (data := data.lstrip(b"\0")):
+            data = self.source.read(CHUNK)
+        if data:
+            self.codec = zlib.decompressobj(31)
+        return data
+
     def line(self) -> bytes:
         """Up to and with the next line feed; empty at the end."""
         looked = 0
@@ -132,19 +151,27 @@ class Inflated:
 
 
 def read_records(stream: Inflated) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(header fields in lower case, header bytes, block) of every record."""
-    while True:
-        line = stream.line()
-        if not line:
-            return
+    """(header fields in lower case, header bytes, block) of every record.
+
+    Raises if the stream ends within a record, and where no record stands.
+    """
+    while line := stream.line():
         if not line.strip():
             continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a record: {line[:40]!r}")
         head, fields = [line], {}
         while (line := stream.line()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
             head.append(line)
-        yield fields, b"".join([*head, line]), stream.take(int(fields.get("content-length", 0)))
+        if not line or "content-length" not in fields:
+            raise ValueError(f"incomplete header of record {fields.get('warc-record-id', '')}")
+        size = int(fields["content-length"])
+        block = stream.take(size)
+        if len(block) < size:
+            raise EOFError(f"record {fields.get('warc-record-id', '')} has {len(block)} of {size} bytes")
+        yield fields, b"".join([*head, line]), block
 
 
 INDEX = T.StructType(
@@ -175,13 +202,23 @@ def _normalise(source: str, target: str) -> int:
     return count
 
 
+def target_name(path: str) -> str:
+    """The normalised archive's name: the file's own, and a hash of its path."""
+    stem = re.sub(r"(\.txt|\.warc)?\.gz$", "", path.rsplit("/", 1)[-1])
+    return f"{stem}-{hashlib.sha1(path.encode()).hexdigest()[:16]}.warc.gz"
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Normalise every ``*.gz`` archive below ``source`` into ``target``; (archive, records) per file.
 
-    ``target`` is a folder that all executors reach.  An archive without records gives an empty
-    archive and index.
+    ``target`` is a folder that all executors reach.  Folders below ``source`` are searched too; the
+    name in ``target`` ends in a hash of the whole path, so that archives of the same name stay
+    apart.  An archive without records gives an empty archive and index.  A damaged archive (cut
+    off, with bytes behind the last member that are not zero, with an incomplete record) ends the
+    job with an error; no file of its final name is left.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true")
+    found = reader.load(source).select("path")
     names = found.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
     fs, path = open_store(target)
     fs.create_dir(path, recursive=True)
@@ -189,7 +226,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                out = f"{target}/{re.sub(r'(\.txt|\.warc)?\.gz$', '', name.rsplit('/', 1)[-1])}.warc.gz"
+                out = f"{target}/{target_name(name)}"
                 yield pa.RecordBatch.from_pylist([{"archive": out, "records": _normalise(name, out)}])
 
     return stage(names.mapInArrow(run, "archive string, records long"), "archives")

@@ -10,7 +10,7 @@ import tiktoken
 from test_operators import VOCABULARY, brute_leaks, brute_lines, brute_near, brute_quality, hashlib, planted, prose, random
 
 import corpus_pipeline
-from lexiqua.llm import bpe
+from lexiqua.llm import bpe, lines
 from lexiqua.llm.lines import MIN_SITES
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -33,7 +33,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
     kept = [r for r in rows if brute_quality(r[1] or "")[6]]
     source = {d: s for d, _, s in rows}
-    cleaned = [(d, t) for d, t in brute_lines(kept, MIN_SITES)]
+    # documents that lost every worded line are dropped
+    worded = {d for d, t, _ in kept if (t or "").split()}
+    cleaned = [(d, t) for d, t in brute_lines(kept, MIN_SITES) if (t or "").split() or d not in worded]
     near = brute_near(cleaned)
     single = [(d, t) for d, t in cleaned if near[d][2]]
     leaked = {d for d, _ in brute_leaks(single, items)}
@@ -55,11 +57,28 @@ def test_copies_over_many_sources_leave_one_document(spark, tmp_path):
     frame = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, prose(30, rng))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    cleaned = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame, str(tmp_path), keep_emptied=False).collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame, str(tmp_path)).collect()}
     # blank rows had no word to lose; near copies keep the line of their own
     assert cleaned == {0: text, **own, **{d: t for d, t, _ in rows if d >= 200}}
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path), keep_emptied=False).collect()}
-    assert {d for d in got if d < 36} == {0} and {d for d in corpus_pipeline.run(spark, str(tmp_path)).toPandas()["doc_id"] if d < 36} == set(range(36))
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {d for d in got if d < 36} == {0}
+    kept = lines.without_boilerplate(frame).collect()
+    assert len(kept) == len(rows) and sum(r["text"] == "" for r in kept) == 35
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing extra columns, and then no row at all."""
+    rng = random.Random(23)
+    text, other = prose(80, rng), prose(90, rng)
+    rows = [(1, text), (1, text), (2, text + " end"), (None, other), (None, prose(70, rng)), (3, None), (4, ""), (5, "few words"), (6, prose(3000, rng))]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, n long, kept string, `_gone` int, `key` string, sig int"
+    frame = spark.createDataFrame([(d, t, None, None, None, 1, "k", 2, None, 3) for d, t in rows], columns)
+    for name, part in (("full", frame), ("none", frame.limit(0))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, prose(30, rng))], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 1), (False, 6), (True, 0), (True, 0)]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_every_stage_but_the_last_keeps_the_columns(spark, small):
