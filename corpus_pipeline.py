@@ -15,12 +15,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_emptied: bool = True) -> DataFrame:
-    """All documents, without cross-site boilerplate lines; n_chars follows the text.
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines; n_chars follows the text.
 
-    ``keep_emptied=False`` drops documents that lost every worded line to a first place elsewhere.
+    A document that lost every line with a word goes: each of them stays at its first place in
+    another one.
     """
-    return lines.without_boilerplate(docs, chars="n_chars" if "n_chars" in docs.columns else None, keep_emptied=keep_emptied)
+    return lines.without_boilerplate(docs, chars="n_chars" if "n_chars" in docs.columns else None, keep_emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +51,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, keep_emptied: bool = True) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage on what the one before it kept, written and read again.
+
+    Null texts and texts of few words go with the first stage; rows without an id stay in the
+    others; rows that repeat an id go or stay together; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
-        options = {"keep_emptied": keep_emptied} if function is line_dedup else {}
-        docs = stage(function(spark, docs, sf_dir, **options), name)
+        docs = stage(function(spark, docs, sf_dir), name)
     return docs
