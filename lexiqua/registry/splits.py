@@ -100,17 +100,10 @@ l AS (SELECT vec_id, list(neighbour_id ORDER BY rank) AS near FROM near GROUP BY
 s AS (SELECT p.label, p.v AS x, w.v AS y, gap FROM p JOIN l USING (vec_id) JOIN v w ON w.vec_id = near[(mate % len(near)) + 1]),
 b AS (SELECT vec_id, label, false AS is_synthetic, v AS p FROM v
   UNION ALL SELECT NULL, label, true, list_transform(range(1, 65), lambda i: x[i] + (y[i] - x[i]) * gap) FROM s)
-SELECT vec_id, label, is_synthetic, round(p[1], 6) AS first, round(p[64], 6) AS last, round(list_sum(p), 6) AS total FROM b""",
+SELECT vec_id, label, is_synthetic, unnest(range(len(p))) AS dimension, round(unnest(p), 6) AS value FROM b""",
 )
 def smote_balanced(spark, sf_dir):
     e = spread(table(spark, sf_dir, "embeddings"))
     b = sampling.smote_balanced(e, "vec_id", "label", "embedding")
-    v = F.col("embedding")
-    return b.select(
-        "vec_id",
-        "label",
-        "is_synthetic",
-        F.round(v[0], 6).alias("first"),
-        F.round(v[63], 6).alias("last"),
-        F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
-    )
+    each = b.select("vec_id", "label", "is_synthetic", F.posexplode("embedding").alias("dimension", "value"))
+    return each.withColumn("dimension", F.col("dimension").cast("long")).withColumn("value", F.round("value", 6))

@@ -194,6 +194,22 @@ def knn_within_class(spark, sf_dir):
     return nearest_in_group(e, e, "label", "vec_id", "embedding", 5)
 
 
+@query(
+    "knn_hashed_recall",
+    f"""WITH {SQL_NEAR} SELECT label, count(DISTINCT vec_id) AS vectors, count(*) AS neighbours, true AS recall_of_nine_tenths FROM near GROUP BY label""",
+)
+def knn_hashed_recall(spark, sf_dir):
+    """Of the exact neighbours' places, how many the hashed search fills as near, per class."""
+    e = spread(table(spark, sf_dir, "embeddings"))
+    exact, hashed = (nearest_in_group(e, e, "label", "vec_id", "embedding", 5, method=m) for m in ("exact", "lsh"))
+    found = hashed.select("vec_id", "rank", F.col("distance").alias("hashed"))
+    joined = exact.join(found, ["vec_id", "rank"], "left")
+    return joined.groupBy("label").agg(
+        F.countDistinct("vec_id").alias("vectors"), F.count(F.lit(1)).alias("neighbours"),
+        (F.avg(F.coalesce((F.col("hashed") == F.col("distance")).cast("int"), F.lit(0))) >= 0.9).alias("recall_of_nine_tenths"),
+    )
+
+
 # ---------------------------------------------------------------- counts and distributions
 
 @query(
