@@ -20,9 +20,8 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, PCA, HashingTF, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +39,7 @@ from .corpus import vocabulary
 from .features import standard_scaled
 from .margins import fit_margins
 from .sampling import SEED, random_split, stratified_split, three_way_split
+from .topics import Topics, fit_topics  # noqa: F401
 
 
 # ---------------------------------------------------------------- training tables
@@ -416,52 +416,6 @@ def pca_projection(df: DataFrame, keep: list[str], columns: list[str], n: int =
     return projected.select(*keep, *[parts[i].alias(f"PC{i + 1}") for i in range(n)])
 
 
-@dataclass
-class Topics:
-    model: Model
-    counts: DataFrame
-    vocabulary: list[str]
-    k: int
-
-    def terms(self, top: int = 10) -> DataFrame:
-        """(topic, rank, term, weight)."""
-        described = self.model.describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-        flat = described.select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("index"), F.col("t.termWeights").alias("weight"))
-        spark = flat.sparkSession
-        names = spark.createDataFrame(list(enumerate(self.vocabulary)), "index int, term string")
-        return flat.join(names, "index").select("topic", "rank", "term", "weight")
-
-    def dominant(self) -> DataFrame:
-        """(id, topic, share): the strongest topic of every row, the lowest number on ties.
-
-        A row without known terms has no distribution; it gets topic 0 with share 1/k.
-        """
-        shares = vector_to_array("topicDistribution")
-        out = self.model.transform(self.counts).withColumn("p", shares)
-        known = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) > 0
-        return out.select(
-            "id",
-            F.when(known, argmax(F.col("p"))).otherwise(F.lit(0)).alias("topic"),
-            F.when(known, F.array_max("p")).otherwise(F.lit(1.0 / self.k)).alias("share"),
-        )
-
-
-def fit_topics(
-    df: DataFrame, id_col: str, tokens_col: str, k: int = 10, passes: int = 5, no_below: int = 5, no_above: float = 0.5, seed: int = 42, **params
-) -> Topics:
-    """Latent Dirichlet allocation on terms in at least ``no_below`` rows and at most a share
-    ``no_above`` of them.
-
-    Each of the ``passes`` reads every row, and no term that passes both bounds is cut.
-    """
-    rows = stage(df.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens")), "tokens")
-    size = max(1, vocabulary(rows, "id", "tokens", no_below, no_above).count())
-    counter = CountVectorizer(inputCol="tokens", outputCol="features", minDF=float(no_below), maxDF=float(no_above), vocabSize=size).fit(rows)
-    counts = stage(counter.transform(rows).select("id", "features"), "counts")
-    model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online", subsamplingRate=1.0, **params).fit(counts)
-    return Topics(model, counts, counter.vocabulary, k)
-
-
 def word_neighbours(df: DataFrame, tokens_col: str, dims: int = 32, min_count: int = 5, seed: int = 42) -> DataFrame:
     """(token, neighbour): closest other word by Word2Vec cosine, for the augmentation."""
     # one training task per input partition: each sweeps its own rows and the vectors are averaged
