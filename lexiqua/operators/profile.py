@@ -119,6 +119,41 @@ def distribution_by_category(df: DataFrame, value_col: str, category_col: str, b
     return bars.unionByName(quartiles)
 
 
+def density_by_category(df: DataFrame, value_col: str, category_col: str, points: int = 100, cut: float = 2.0) -> DataFrame:
+    """Gaussian kernel density per category on ``points`` places: (category, point, x, density).
+
+    The bandwidth follows from deviation and exact quartiles, 0.9 min(s, IQR / 1.34) n^-1/5 (Silverman
+    1986); a quartile range of 0 leaves the deviation.  Places reach ``cut`` bandwidths beyond the
+    extremes.  Every value is shared by its two neighbouring places in proportion, so rows are
+    read twice and the kernel meets at most ``points`` weights a category.  Categories whose values are all
+    equal have no density; null and NaN values are skipped.
+    """
+    rows = df.select(F.col(category_col).alias("category"), F.col(value_col).cast("double").alias("x"))
+    rows = stage(rows.where(F.col("x").isNotNull() & ~F.isnan("x")), "values")
+    spread_ = rows.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")
+    )
+    quartiles = exact_quantiles(rows, ["category"], "x", {"q1": 0.25, "q3": 0.75})
+    iqr = (F.col("q3") - F.col("q1")) / 1.34
+    h = 0.9 * F.when(iqr > 0, F.least("s", iqr)).otherwise(F.col("s")) * F.pow("n", -0.2)
+    grid = spread_.join(quartiles, "category").select("category", "n", "lo", "hi", h.alias("h")).where("h > 0")
+    grid = grid.withColumn("from", F.col("lo") - cut * F.col("h")).withColumn("step", (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1))
+    grid = stage(grid.select("category", "n", "h", "from", "step"), "grid")
+    place = (F.col("x") - F.col("from")) / F.col("step")
+    below = F.least(F.floor("place"), F.lit(points - 2))
+    shares = F.array(
+        F.struct(below.alias("bin"), (1 - (F.col("place") - below)).alias("w")), F.struct((below + 1).alias("bin"), (F.col("place") - below).alias("w"))
+    )
+    placed = lookup_join(rows, grid, ["category"], salt_by=["x"]).withColumn("place", place)
+    weights = placed.select("category", F.inline(shares)).groupBy("category", "bin").agg(F.sum("w").alias("w"))
+    targets = grid.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    apart = (F.col("point") - F.col("bin")) * F.col("step") / F.col("h")
+    each = targets.join(stage(weights, "weights"), "category").withColumn("k", F.col("w") * F.exp(-0.5 * apart * apart))
+    summed = each.groupBy("category", "point", "from", "step", "n", "h").agg(F.sum("k").alias("k"))
+    density = F.col("k") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
+    return summed.select("category", "point", (F.col("from") + F.col("point") * F.col("step")).alias("x"), density.alias("density"))
+
+
 def crosstab(df: DataFrame, row_col: str, class_col: str, classes: list | None = None) -> DataFrame:
     """Rows = values of ``row_col``, one count column per class."""
     classes = classes or class_values(df, class_col)

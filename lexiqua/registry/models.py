@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import corpus, evaluation, features, models as M
+from ..operators import boosting, corpus, evaluation, features, models as M
 from ..plans.staging import spread, stage
 from .base import SQL_TERM, documents, labelled, query, sql_key, table, tokenized
 from .corpus import SQL_PICKS
@@ -153,6 +153,48 @@ def tree_complexity_sweep_audit(spark, sf_dir):
     return swept.select("step", F.round("strength", 3).alias("strength"), fair.alias("plausible"))
 
 
+@query("tree_pruning_path")
+def tree_pruning_path(spark, sf_dir):
+    t = _text_training(spark, sf_dir, "random")
+    return boosting.pruned_accuracies(t.part("train"), t.table)
+
+
+@query(
+    "tree_stump_counts",
+    f"""WITH r AS (SELECT doc_id, (n_chars >= 1500)::INTEGER AS label, (length(replace(text, ' ', '')) >= 1250)::INTEGER AS x,
+  CASE WHEN {sql_key('12345', 'doc_id')} < '33333333' THEN 'test' ELSE 'train' END AS split FROM documents)
+SELECT node, split, label, count(*) AS n FROM (SELECT 0 AS node, * FROM r UNION ALL SELECT 1 + x, * FROM r) GROUP BY ALL""",
+)
+def tree_stump_counts(spark, sf_dir):
+    """Rows per node, split and class of a tree of one split: long texts by their characters without blanks."""
+    d = documents(spark, sf_dir).withColumn("label", (F.col("n_chars") >= 1500).cast("int"))
+    d = d.withColumn("solid", (F.length(F.replace("text", F.lit(" "), F.lit(""))) >= 1250).cast("double"))
+    t = M.training_table(d, "doc_id", "label", ["solid"], split="random")
+    _, counts = boosting.node_counts(DecisionTreeClassifier(maxDepth=1, seed=SEED).fit(t.part("train")), t.table)
+    rows = [(node, split, label, n) for node, cells in counts.items() for (split, label), n in cells.items()]
+    return spark.createDataFrame(rows, "node int, split string, label int, n long")
+
+
+def _newton(spark, sf_dir):
+    t = _vector_training(spark, sf_dir)
+    return t, boosting.fit_newton_boosting(t.part("train"), len(t.classes))
+
+
+@query("newton_boosting")
+def newton_boosting(spark, sf_dir):
+    """Metrics of each split, and the mean log loss of the training rows before and after every round."""
+    t, model = _newton(spark, sf_dir)
+    m = M.metrics_table(stage(model.scores(t.table), "predictions"), t).select(F.col("split").alias("part"), F.col("metric").alias("name"), "value")
+    losses = [("loss", str(i), float(x)) for i, x in enumerate(model.losses)]
+    return m.unionByName(spark.createDataFrame(losses, "part string, name string, value double"))
+
+
+@query("newton_boosting_audit", _sql_audit(_VECTOR, "stratified"))
+def newton_boosting_audit(spark, sf_dir):
+    t, model = _newton(spark, sf_dir)
+    return _audit(model.scores(t.table), len(t.classes))
+
+
 def _forest(spark, sf_dir):
     t = _vector_training(spark, sf_dir)
     return t, M.run_classifier(t, RandomForestClassifier(numTrees=30, maxDepth=6, seed=SEED), "forest")
@@ -375,11 +417,16 @@ def lda_topics(spark, sf_dir):
     return M.fit_topics(tokenized(spark, sf_dir), "doc_id", "tokens", k=10, passes=5).terms(10)
 
 
-@query("lda_topics_audit", "SELECT t::INTEGER AS topic, (r + 1)::INTEGER AS rank, true AS ordered FROM range(10) a(t), range(10) b(r)")
+_SQL_KNOWN = f"""{SQL_TERM}, df AS (SELECT w, count(DISTINCT doc_id) AS df FROM term GROUP BY w),
+known AS MATERIALIZED (SELECT w FROM df WHERE df >= 5 AND df <= 0.5 * (SELECT count(*) FROM documents))"""
+
+
+@query("lda_topics_audit", f"WITH {_SQL_KNOWN} SELECT count(DISTINCT w) AS terms, count(*)::DOUBLE AS tokens FROM term JOIN known USING (w)")
 def lda_topics_audit(spark, sf_dir):
-    terms = lda_topics(spark, sf_dir)
-    before = F.lag("weight", 1, 1.0).over(Window.partitionBy("topic").orderBy("rank"))
-    return terms.select("topic", "rank", ((F.col("weight") > 0) & (F.col("weight") <= before)).alias("ordered"))
+    """What the topics hold beyond the prior is every token of the vocabulary, each once."""
+    model = M.fit_topics(tokenized(spark, sf_dir), "doc_id", "tokens", k=10, passes=5)
+    mass = F.aggregate("lambda", F.lit(0.0), lambda a, x: a + x) - model.k * model.eta
+    return model.weights.agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum(mass), 3).alias("tokens"))
 
 
 @query("dominant_topic")
@@ -388,10 +435,12 @@ def dominant_topic(spark, sf_dir):
     return t.select(F.col("id").alias("doc_id"), "topic", "share")
 
 
-@query("dominant_topic_audit", "SELECT doc_id, true AS plausible FROM documents")
+@query("dominant_topic_audit", f"WITH {_SQL_KNOWN} SELECT doc_id, count(*)::DOUBLE AS tokens FROM term JOIN known USING (w) GROUP BY doc_id")
 def dominant_topic_audit(spark, sf_dir):
-    fair = F.col("topic").between(0, 9) & F.col("share").between(0.1 - 1e-9, 1 + 1e-9)
-    return dominant_topic(spark, sf_dir).select("doc_id", fair.alias("plausible"))
+    """What a document's topics hold beyond the prior is its tokens of the vocabulary."""
+    model = M.fit_topics(tokenized(spark, sf_dir), "doc_id", "tokens", k=10, passes=5)
+    mass = F.aggregate("gamma", F.lit(0.0), lambda a, x: a + x) - model.k * model.alpha
+    return model.documents().select(F.col("id").alias("doc_id"), F.round(mass, 3).alias("tokens"))
 
 
 @query("augmented_word_vectors")

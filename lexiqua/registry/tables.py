@@ -238,6 +238,24 @@ def distribution_by_category(spark, sf_dir):
     return d.withColumn("value", F.round("value", 6))
 
 
+@query(
+    "density_by_category",
+    """WITH s AS (SELECT event_type AS category, count(*) AS n, stddev_samp(value) AS s, min(value) AS lo, max(value) AS hi,
+  (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34::DOUBLE AS iqr FROM events WHERE value IS NOT NULL GROUP BY 1),
+h AS (SELECT *, 0.9::DOUBLE * CASE WHEN iqr > 0 THEN least(s, iqr) ELSE s END * pow(n, -0.2::DOUBLE) AS h FROM s),
+g AS (SELECT category, n, h, lo - 2 * h AS a, (hi - lo + 4 * h) / 99 AS step FROM h WHERE h > 0),
+p AS (SELECT g.*, (value - a) / step AS place FROM events JOIN g ON category = event_type),
+b AS (SELECT *, least(floor(place), 98)::INTEGER AS bin FROM p),
+w AS (SELECT category, bin, sum(w) AS w FROM (SELECT category, bin, 1 - (place - bin) AS w FROM b UNION ALL SELECT category, bin + 1, place - bin FROM b) GROUP BY ALL)
+SELECT category, point::INTEGER AS point, round(a + point * step, 6) AS x,
+  round(sum(w * exp(-0.5 * pow((point - bin) * step / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM g CROSS JOIN range(100) r(point) JOIN w USING (category) GROUP BY category, point, a, step, n, h""",
+)
+def density_by_category(spark, sf_dir):
+    d = profile.density_by_category(spread(table(spark, sf_dir, "events")), "value", "event_type", 100)
+    return d.withColumns({c: F.round(c, 6) for c in ("x", "density")})
+
+
 @query(
     "column_profile",
     """WITH o AS (SELECT o_orderstatus, o_orderpriority, o_totalprice, o_orderkey % 7 AS weekday, o_custkey FROM orders),

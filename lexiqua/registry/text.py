@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicons import ENTITY_LANGUAGES, LANGUAGE_NAMES, TAG_LANGUAGES, recorded_stop_words, stop_words
-from ..operators import features, profile
+from ..operators import features, gazetteer, profile
 from ..plans.ordering import exact_quantiles
 from ..plans.staging import stage
 from .base import SQL_TERM, SQL_TOK, SQL_TOKENS, documents, labelled, query, table, tokenized
@@ -270,6 +272,34 @@ def entities(spark, sf_dir):
     return found.groupBy("doc_id", "type", F.col("text").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_SQL_WORDS = "list_filter(string_split_regex(lower({0}), '[^a-z]+'), lambda w: w <> '')"
+
+
+@query(
+    "gazetteer_entities",
+    f"""WITH RECURSIVE tok AS MATERIALIZED (SELECT doc_id, {_SQL_WORDS.format('text')} AS t FROM documents),
+src AS (SELECT {_SQL_WORDS.format('p_name')} AS t, 'PRODUCT' AS type FROM part UNION ALL SELECT {_SQL_WORDS.format('n_name')}, 'PLACE' FROM nation
+  UNION ALL SELECT ({_SQL_WORDS.format('text')})[1:2], 'OPENING' FROM benchmark UNION ALL SELECT ({_SQL_WORDS.format('text')})[1:5], 'PASSAGE' FROM benchmark),
+name AS MATERIALIZED (SELECT array_to_string(t, ' ') AS name, len(t) AS length, min(type) AS type FROM src WHERE len(t) > 0 GROUP BY ALL),
+size AS (SELECT DISTINCT length FROM name),
+gram AS (SELECT doc_id, i AS start, length, array_to_string(t[i + 1:i + length], ' ') AS name FROM (SELECT doc_id, t, unnest(range(len(t))) AS i FROM tok) JOIN size ON i + length <= len(t)),
+hit AS MATERIALIZED (SELECT doc_id, start, max(length) AS length FROM gram JOIN name USING (name, length) GROUP BY ALL),
+walk AS (SELECT doc_id, start, length FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS r FROM hit) WHERE r = 1
+  UNION ALL SELECT doc_id, start, length FROM (SELECT h.*, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.start) AS r FROM walk w JOIN hit h ON h.doc_id = w.doc_id AND h.start >= w.start + w.length) WHERE r = 1)
+SELECT walk.doc_id, walk.start::INTEGER AS start, walk.length::INTEGER AS length, gram.name AS entity, name.type FROM walk JOIN gram USING (doc_id, start, length) JOIN name ON name.name = gram.name""",
+)
+def gazetteer_entities(spark, sf_dir):
+    """Names of the part and nation tables and openings of the benchmark's items in the documents."""
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != "")
+    sources = [("part", "p_name", "PRODUCT", 9), ("nation", "n_name", "PLACE", 9), ("benchmark", "text", "OPENING", 2), ("benchmark", "text", "PASSAGE", 5)]
+    names = [
+        table(spark, sf_dir, t).select((F.slice(words(c), 1, n) if t == "benchmark" else words(c)).alias("tokens"), F.lit(kind).alias("type"))
+        for t, c, kind, n in sources
+    ]
+    tokens = documents(spark, sf_dir).select("doc_id", words("text").alias("tokens"))
+    return gazetteer.gazetteer_entities(tokens, "doc_id", "tokens", reduce(DataFrame.union, names))
+
+
 @query("annotated_entities", f"WITH {_SQL_ENTITIES} SELECT doc_id, type, entity, count(*) AS n FROM ent GROUP BY ALL")
 def annotated_entities(spark, sf_dir):
     """The same entities through the hook for annotators that are loaded per language."""
