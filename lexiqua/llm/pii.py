@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and a linear-chain CRF for forms that they do not reach.
 
 The CRF labels words from their shapes and their neighbours' shapes.  It is trained on a small
-labelled table by gradient ascent on the log-likelihood, and decoded by Viterbi for many
-sequences at a time.  A sequence is a run of words around a digit or an "@"; other words cannot
-belong to any kind of span.  What it adds must still hold as its kind (Luhn, digit counts, parts).
+labelled table, some lines as they stand and the rest made by rule in the corpus's languages, by
+gradient ascent on the log-likelihood.  Whole texts are scored with numpy, a distinct word at a time,
+and decoded by Viterbi for many texts side by side; only texts without a digit or "@" are left out, as
+no span of theirs could hold.  What the chain adds must still hold as its kind (Luhn, digit counts, parts).
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from hashlib import sha256
@@ -30,8 +32,8 @@ NO_DIGIT = re.compile(r"[^0-9]")
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TELLING = re.compile(r"[0-9@]")
-#: Words on either side of a telling one that belong to its sequence.
-CONTEXT = 2
+#: Distinct words whose features a task remembers.
+REMEMBERED = 200_000
 #: Cells (sequences times words) of one Viterbi block.
 BLOCK = 200_000
 
@@ -97,9 +99,60 @@ LABELLED = (
     "temperature 21.5 to 23.75 degrees",
     "lines 100-200 and 300-455 changed",
 )
+#: Lines of the made part: {kind} is filled with personal data of a form that the base patterns miss,
+#: {plain} with other figures.
+LINES = (
+    "please call {phone} before noon", "our number is {phone} or {phone} at night", "phone: {phone}", "tel. {phone}, fax {phone}", "you can reach her under {phone} most days",
+    "the card {card} was declined", "we charged card {card} twice", "card no. {card} expires soon", "paid by {card} and {card}", "write to {email} for help",
+    "mail {email} or {email}", "the sender was {email} again", "host {ip} refused", "the server {ip} and {ip} are down", "connect to {ip} please",
+    "bitte rufen Sie {phone} an", "Telefon {phone} oder {phone}", "Tel: {phone} im Büro", "die Karte {card} ist gesperrt", "Kartennummer {card} bitte", "schreiben Sie an {email} heute",
+    "der Rechner {ip} antwortet nicht", "appelez le {phone} ce soir", "téléphone {phone} ou {phone}", "la carte {card} est perdue", "numéro de carte {card} merci",
+    "écrivez à {email} demain", "le serveur {ip} est lent", "llame al {phone} mañana", "mi teléfono es {phone} siempre", "la tarjeta {card} no vale", "pague con {card} hoy",
+    "escriba a {email} ahora", "el servidor {ip} no responde", "released {plain} and {plain} last year", "order {plain} was shipped on {plain}", "see page {plain} of {plain}",
+    "about {plain} people came", "the file {plain} has {plain} lines", "version {plain} costs {plain}", "am {plain} gab es {plain} davon", "Seite {plain} von {plain}", "le {plain} il y avait {plain}",
+    "{ip} replied to {ip}", "trace {ip} now", "blocked {ip} and {ip}", "von {ip} nach {ip}", "depuis {ip} vers {ip}", "desde {ip} hasta {ip}",
+    "el {plain} hubo {plain} casos", "id {plain} and key {plain}", "score {plain} to {plain} in {plain}", "token = {plain} was used", "license version {plain} of {plain}",
+)
+#: Forms, # being a digit, @ a letter, ~ a number up to 255 and = a card's digits with a right check digit.
+FORMS = {
+    "phone": (
+        "(###) ###-####", "###-###-####", "###.###.####", "(0##) ####-####", "0### ######", "0###/#######", "0###-#######", "0## ####### ##", "1-8##-###-####", "01 ## ## ## ##", "06.##.##.##.##",
+        "9## ### ###", "6##-###-###", "(0####) ######", "00## ## #######",
+    ),
+    "card": ("====.====.====.====", "====/====/====/====", "====_====_====_====", "==== ==== ==== ==== ,", "======.========.==", "====:====:====:====", "================ ================"),
+    "email": ("@@@@@@localhost", "@@@@_@@@(at)@@@@@host", "@@@.@@@@@mail", "@@@@@@@@server#", "é@@@@@@@@@.example", "@@ü@@@@@@@@.example.de", "@@@@##@@intra"),
+    "ip": ("~.~.~.~:####", "~.~.~.~/##", "~-~-~-~", "~_~_~_~", "~.~.~.~:##", "~.~.~.~/~", "~,~,~,~"),
+    "plain": ("20##", "19##", "##", "###", "#.#", "#.#.#", "20##-0#-1#", "1#/0#/20##", "1#:##", "#,###.##", "#.###,##", "##%", "########", "#############", "@#@##@@#@##@", "##-###", "#-#", "###x###", "N###", "####-####"),
+}
 MARK = re.compile(r"\[(\w+):([^\]]*)\]")
 
 
+def filled(form: str, rng: random.Random) -> str:
+    out = [rng.choice("0123456789") if c == "#" else str(rng.randint(1, 254)) if c == "~" else c for c in form]
+    # of two letter marks side by side in an address one is the sign itself
+    cut = [i for i, c in enumerate(out) if c == "@"]
+    sign = cut[len(cut) * 2 // 3] if cut and "mail" in form or "host" in form or "server" in form or "example" in form or "intra" in form else -1
+    out = [rng.choice("abcdefghiklmnoprstuvw") if c == "@" and i != sign else c for i, c in enumerate(out)]
+    cards = [i for i, c in enumerate(out) if c == "="]
+    for i in cards:
+        out[i] = rng.choice("0123456789")
+    if cards:
+        digits = "".join(out[i] for i in cards[:-1])
+        out[cards[-1]] = next(d for d in "0123456789" if luhn(digits + d))
+    return "".join(out).removesuffix(" ,")
+
+
+def made_lines(lines: tuple[str, ...] = LINES, rounds: int = 12, seed: int = 1) -> list[str]:
+    """Every line ``rounds`` times with other fillings, marked like ``LABELLED``."""
+    rng = random.Random(seed)
+
+    def fill(m: re.Match) -> str:
+        value = filled(rng.choice(FORMS[m[1]]), rng)
+        return value if m[1] == "plain" else f"[{m[1]}:{value}]"
+
+    return [re.sub(r"\{(\w+)\}", fill, line) for line in lines for _ in range(rounds)]
+
+
 def shape(word: str) -> str:
     """Runs of digits with their length, of letters without, other characters as they are."""
     word = re.sub(r"[0-9]+", lambda m: f"\x00{min(len(m[0]), 9)}", word)
@@ -146,26 +199,84 @@ class Chain:
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
         self.names, self.emit, self.move, self.start = names, emit, move, start
+        self.none = len(names)
+        self.padded = np.vstack([emit, np.zeros(len(LABELS))])
+        # shapes and cores that pairs of the table hold, and the pairs' rows
+        pairs = {kind: [(f[len(kind) + 1 :].split("|", 1), row) for f, row in names.items() if f.startswith(kind + "=")] for kind in ("ps", "sn")}
+        self.outer = {v: n for n, v in enumerate(sorted({p[0] for p, _ in pairs["ps"]} | {p[-1] for p, _ in pairs["sn"]}), 1)}
+        self.cores = {v: n for n, v in enumerate(sorted({p[-1] for p, _ in pairs["ps"]} | {p[0] for p, _ in pairs["sn"]}), 1)}
+        self.before, self.after = (np.full((len(self.outer) + 1, len(self.cores) + 1), self.none) for _ in range(2))
+        for (outer, core), row in pairs["ps"]:
+            self.before[self.outer[outer], self.cores[core]] = row
+        for (core, outer), row in pairs["sn"]:
+            self.after[self.outer[outer], self.cores[core]] = row
+        self.seen: dict[str, int] = {}
+        self.known: list[tuple[int, ...]] = []
 
     def scores(self, words: list[str]) -> np.ndarray:
         rows = [[self.names[f] for f in row if f in self.names] for row in features(words)]
         return np.array([self.emit[r].sum(axis=0) if r else np.zeros(len(LABELS)) for r in rows])
 
-
-def train(table: tuple[str, ...] | list[str] = LABELLED, rounds: int = 150, rate: float = 0.1, decay: float = 0.01) -> Chain:
+    def _word(self, word: str) -> tuple[int, ...]:
+        """What a word is as itself (s, d, u, at), as a neighbour (p, n, b), and in pairs."""
+        whole = shape(word) if word not in ("\x02^", "\x02$") else word[1]
+        core = whole.strip(".,;:!?")
+        digits = min(sum(c.isdigit() for c in word), 20)
+        before = "^" if word == "\x02^" else word.lower().strip(".,:;")
+        row = lambda f: self.names.get(f, self.none)
+        return (
+            row(f"s={core}"), row(f"d={digits}"), row(f"u={re.sub('[0-9]', '', core)}"), row("at") if "@" in word else self.none,
+            row(f"p={whole}"), row(f"n={whole}"), row(f"b={before}"), self.outer.get(whole, 0), self.cores.get(core, 0),
+        )
+
+    def all_scores(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """What ``scores`` gives for each list of words, found from the distinct words at once."""
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.known = {}, []
+        seen, known = self.seen, self.known
+        stream = ["\x02^"]
+        for words in texts:
+            stream += words
+            stream += ("\x02$", "\x02^")
+        for word in set(stream):
+            if word not in seen:
+                seen[word] = len(known)
+                known.append(self._word(word))
+        table = np.array(known)
+        at = np.fromiter(map(seen.__getitem__, stream), np.int64, len(stream))
+        mine, left, right = table[at[1:-1]], table[at[:-2]], table[at[2:]]
+        rows = [mine[:, 0], mine[:, 1], mine[:, 2], mine[:, 3], left[:, 4], right[:, 5], left[:, 6], self.before[left[:, 7], mine[:, 8]], self.after[right[:, 7], mine[:, 8]]]
+        total = np.zeros((len(mine), len(LABELS)))
+        for row in rows:
+            total += self.padded[row]
+        out, start = [], 0
+        for words in texts:
+            out.append(total[start : start + len(words)])
+            start += len(words) + 2
+        return out
+
+
+def training_lines() -> list[str]:
+    return [*LABELLED, *made_lines()]
+
+
+def train(table: tuple[str, ...] | list[str] | None = None, rounds: int = 150, rate: float = 0.1, decay: float = 0.01) -> Chain:
     """Fit a chain to the labelled table (Adam on the penalised log-likelihood, all rows at once)."""
-    rows = labelled_rows(table)
+    rows = labelled_rows(training_lines() if table is None else table)
     names: dict[str, int] = {}
     coded = [[[names.setdefault(f, len(names)) for f in row] for row in features(words)] for words, _ in rows]
     n_labels, width = len(LABELS), max((len(w) for w, _ in rows), default=1)
     mask = np.zeros((len(rows), width), bool)
     gold = np.zeros((len(rows), width), int)
-    incidence = np.zeros((len(rows), width, len(names)))
+    # every word's features, filled up with one that counts for nothing
+    most, none = max((len(ids) for row in coded for ids in row), default=1), len(names)
+    held = np.full((len(rows), width, most), none)
     for r, (words, labels) in enumerate(rows):
         mask[r, : len(words)] = True
         gold[r, : len(words)] = [LABELS.index(x) for x in labels]
         for t, ids in enumerate(coded[r]):
-            incidence[r, t, ids] = 1
+            held[r, t, : len(ids)] = ids
+    flat = held.ravel()
     weights = [np.zeros((len(names), n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     hot = np.eye(n_labels)[gold] * mask[..., None]
@@ -173,7 +284,7 @@ def train(table: tuple[str, ...] | list[str] = LABELLED, rounds: int = 150, rate
     gold_moves = np.einsum("rta,rtb,rt->ab", hot[:, :-1], hot[:, 1:], both)
     for step in range(1, rounds + 1):
         emit, move, start = weights
-        scores = incidence @ emit
+        scores = np.vstack([emit, np.zeros(n_labels)])[held].sum(axis=2)
         forward, backward = np.zeros_like(scores), np.zeros_like(scores)
         forward[:, 0] = scores[:, 0] + start
         for t in range(1, width):
@@ -186,8 +297,9 @@ def train(table: tuple[str, ...] | list[str] = LABELLED, rounds: int = 150, rate
         marginal = np.exp(forward + backward - total[:, None, None]) * mask[..., None]
         joint = forward[:, :-1, :, None] + move + (scores[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
         moves = np.einsum("rtab,rt->ab", np.exp(np.minimum(joint, 0)), both)
+        apart = np.repeat((hot - marginal)[:, :, None, :], most, axis=2).reshape(-1, n_labels)
         slopes = [
-            np.einsum("rtf,rtl->fl", incidence, hot - marginal) - decay * emit,
+            np.stack([np.bincount(flat, apart[:, k], none + 1)[:none] for k in range(n_labels)], axis=1) - decay * emit,
             gold_moves - moves - decay * move,
             hot[:, 0].sum(axis=0) - marginal[:, 0].sum(axis=0) - decay * start,
         ]
@@ -281,42 +393,40 @@ def plausible(kind: str, value: str) -> bool:
     return holds(kind, value)
 
 
-def sequences(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
-    """(words, their bounds) of the runs of words within ``CONTEXT`` of a telling word."""
-    words = [(m[0], m.start(), m.end()) for m in WORD.finditer(text)]
-    runs: list[list[int]] = []
-    for i, (word, _, _) in enumerate(words):
-        if TELLING.search(word):
-            a, b = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = b
-            else:
-                runs.append([a, b])
-    return [([w for w, _, _ in words[a:b]], [(s, e) for _, s, e in words[a:b]]) for a, b in runs]
+def found_spans(text: str, bounds: list[tuple[int, int]], labels: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The labelled runs of words that hold as their kind and touch no base span.
+
+    Neighbours of one kind are one span if they hold together, or else each that holds alone.
+    """
+    def kept(kind: str, a: int, b: int) -> tuple[int, int, str] | None:
+        value = text[a:b]
+        b -= len(value) - len(value.rstrip(".,;:!?)\"'>*#$%&|"))
+        value = text[a:b]
+        a += len(value) - len(value.lstrip(".,;:!?\"'<*#$%&|"))
+        if a < b and plausible(kind, text[a:b]) and not any(a < y and x < b for x, y, _ in base):
+            return a, b, "crf"
+        return None
+
+    out = []
+    named = np.flatnonzero(labels)
+    if not len(named):
+        return out
+    for part in np.split(named, np.flatnonzero((np.diff(named) > 1) | (labels[named[1:]] != labels[named[:-1]])) + 1):
+        kind = LABELS[labels[part[0]]]
+        if whole := kept(kind, bounds[part[0]][0], bounds[part[-1]][1]):
+            out.append(whole)
+        else:
+            out += [one for k in part if (one := kept(kind, *bounds[k]))]
+    return out
 
 
 def scan(chain: Chain, texts: list[str]) -> dict:
     made: dict[str, list] = {f.name: [] for f in COLUMNS}
-    bases, runs = [], []
-    for i, text in enumerate(texts):
-        telling = TELLING.search(text) is not None
-        bases.append(base_spans(text) if telling else [])
-        if telling:
-            runs += [(i, words, bounds) for words, bounds in sequences(text)]
-    added: dict[int, list[tuple[int, int, str]]] = {}
-    for (i, words, bounds), labels in zip(runs, viterbi(chain, [chain.scores(w) for _, w, _ in runs])):
-        edges = np.flatnonzero(np.diff(labels)) + 1
-        for part in np.split(np.arange(len(labels)), edges):
-            kind = LABELS[labels[part[0]]]
-            if kind == "O":
-                continue
-            start, end = bounds[part[0]][0], bounds[part[-1]][1]
-            value = texts[i][start:end]
-            end -= len(value) - len(value.rstrip(".,;:!?)\"'>*#$%&|"))
-            value = texts[i][start:end]
-            start += len(value) - len(value.lstrip(".,;:!?\"'<*#$%&|"))
-            if start < end and plausible(kind, texts[i][start:end]) and not any(start < y and x < end for x, y, _ in bases[i]):
-                added.setdefault(i, []).append((start, end, "crf"))
+    bases = [base_spans(text) if TELLING.search(text) else [] for text in texts]
+    telling = [i for i, text in enumerate(texts) if TELLING.search(text)]
+    words = [[(m[0], m.span()) for m in WORD.finditer(texts[i])] for i in telling]
+    labelled = viterbi(chain, chain.all_scores([[w for w, _ in row] for row in words]))
+    added = {i: found_spans(texts[i], [b for _, b in row], labels, bases[i]) for i, row, labels in zip(telling, words, labelled)}
     for i, base in enumerate(bases):
         counts = Counter(k for _, _, k in base)
         for kind in KINDS:
@@ -331,12 +441,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: tuple[str, ...] | list[str] = LABELLED) -> DataFrame:
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: tuple[str, ...] | list[str] | None = None) -> DataFrame:
     """Counts, digest and spans (code points, end exclusive) per row of ``docs``.
 
     Base spans always stay; ``crf`` spans are those that only the chain finds.  A null text is
     empty and has none; repeated rows and null ids give a row each; an empty table gives no rows.
-    ``table`` holds the labelled rows, some dozens of short texts.
+    Other columns are not read, whatever their names.  Texts are decoded whole, in time and memory
+    in proportion to their length.  ``table`` holds the labelled lines, by default ``training_lines()``.
     """
     chain = train(table)
 
