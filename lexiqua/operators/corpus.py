@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, hash_number
-from ..plans.joins import class_values, lookup_join, numbered_copies, token_lookup, top_k
+from ..plans.joins import class_values, lookup_join, numbered_copies, small_side, token_lookup, top_k
 from ..plans.ordering import row_positions
 from ..plans.staging import stage
 from .profile import class_deficits
@@ -194,22 +194,21 @@ def tfidf_by_class(
 
     IDF of a class is fitted on that class alone, the vocabulary is shared.  Each bag-of-words row
     carries its class weight and its overall weight together, so the corpus is walked once
-    instead of once per class.
+    instead of once per class.  Only (class, term) pairs that occur are scored.  A term that a class
+    lacks scores minus its overall mean there, so no class needs such a term whose ``k`` best pairs all
+    lie above the best of these; the others look through as many terms as they have, plus ``k``.
+    Rows without a class take no part.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()}
-    if len(sizes) > 1000:
-        raise ValueError(f"column {class_col} has more than 1000 distinct values")
-    classes, docs = sorted(sizes), sum(sizes.values())
+    df = df.where(F.col(class_col).isNotNull())
+    sizes = stage(df.groupBy(F.col(class_col)).agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    docs = sizes.agg(F.sum("_size").alias("n")).first()["n"] or 0
     per_class = _document_frequency(df, [class_col], tokens_col, min_length)
     # at most one row per class meets in a term's window
-    frequency = per_class.withColumn("df_all", F.sum("df").over(Window.partitionBy("term")))
-    class_size = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(sizes[c]))])
+    by_term = Window.partitionBy("term")
+    frequency = per_class.withColumn("df_all", F.sum("df").over(by_term)).join(small_side(sizes), class_col)
     idf = stage(
         frequency.select(
-            class_col,
-            "term",
-            _idf(F.element_at(class_size, F.col(class_col)), F.col("df")).alias("idf"),
-            _idf(F.lit(docs), F.col("df_all")).alias("idf_all"),
+            class_col, "term", _idf(F.col("_size"), F.col("df")).alias("idf"), _idf(F.lit(docs), F.col("df_all")).alias("idf_all")
         ),
         "idf",
     )
@@ -219,24 +218,31 @@ def tfidf_by_class(
     sums = _with_norms(weighted, id_col, ["w", "w_all"]).groupBy(class_col, "term").agg(
         F.sum("w").alias("s"), F.sum("w_all").alias("s_all")
     )
-    overall = F.sum("s_all") / F.lit(docs)
-    cells = [
-        F.struct(
-            F.lit(c).alias("class"),
-            (F.coalesce(F.sum(F.when(F.col(class_col) == c, F.col("s"))), F.lit(0.0)) / F.lit(sizes[c])).alias("score"),
-        )
-        for c in classes
-    ]
-    cells.append(F.struct(F.lit("all").alias("class"), overall.alias("score")))
-    table = sums.groupBy("term").agg(overall.alias("score_all"), F.array(*cells).alias("cells"))
-    scored = table.select("term", "score_all", F.inline("cells")).select(
-        "class",
-        "term",
-        F.round("score", 6).alias("score"),
-        F.round("score_all", 6).alias("score_all"),
-        F.round(F.col("score") - F.col("score_all"), 6).alias("score_diff"),
-    )
-    return top_k(scored, ["class"], [F.col("score_diff").desc(), F.col("term").asc()], k)
+    pairs = sums.withColumn("o", F.sum("s_all").over(by_term) / F.lit(docs)).join(small_side(sizes), class_col)
+    pairs = stage(pairs.select(F.col(class_col).alias("class"), "term", (F.col("s") / F.col("_size")).alias("s"), "o"), "pairs")
+    terms = stage(pairs.groupBy("term").agg(F.first("o").alias("o")), "terms")
+
+    def scored(rows: DataFrame, score: Column) -> DataFrame:
+        figures = {"score": score, "score_all": F.col("o"), "score_diff": score - F.col("o")}
+        # adding zero makes a negative zero a plain one, as ties go by term
+        return rows.select("class", "term", *[(F.round(v, 6) + F.lit(0.0)).alias(n) for n, v in figures.items()])
+
+    order = [F.col("score_diff").desc(), F.col("term").asc()]
+    everywhere = top_k(scored(terms.withColumn("class", F.lit("all")), F.col("o")), ["class"], order, k)
+    best = stage(top_k(scored(pairs, F.col("s")), ["class"], order, k), "best")
+    held = best.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("score_diff").alias("least"))
+    absent = terms.agg(F.max(F.round(-F.col("o"), 6) + F.lit(0.0)).alias("d")).first()["d"]
+    lacking = sizes.select(F.col(class_col).alias("class")).join(held, "class", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("least") <= F.lit(absent)))
+    lacking = stage(lacking.select("class"), "lacking")
+    if lacking.isEmpty():
+        return best.unionByName(everywhere)
+    own = stage(lookup_join(pairs.select("class", "term"), lacking, ["class"], salt_by=["term"]), "own")
+    reach = lacking.join(own.groupBy("class").agg(F.count(F.lit(1)).alias("m")), "class", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    placed = row_positions(terms.withColumn("d", F.round(-F.col("o"), 6) + F.lit(0.0)), [], [F.col("d").desc(), F.col("term").asc()], "pos")
+    tried = stage(reach.select("class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + k - 1)).alias("pos")), "tried")
+    missing = lookup_join(tried, stage(placed.select("pos", "term", "o"), "placed"), ["pos"], salt_by=["class"]).join(own, ["class", "term"], "left_anti")
+    both = best.drop("rank").unionByName(scored(missing, F.lit(0.0)))
+    return top_k(both, ["class"], order, k).unionByName(everywhere)
 
 
 def vocabulary(

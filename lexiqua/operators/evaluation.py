@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import every_pair
 from ..plans.ordering import running_totals
 from ..plans.staging import stage
 
@@ -35,10 +36,10 @@ def confusion_matrix(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     pairs too where it occurs, a NULL prediction none.
     """
     counts = stage(cell_counts(df, truth, prediction), "cells")
-    each = F.explode(F.array("truth", "prediction")).alias("label")
-    labels = counts.select(each).agg(F.sort_array(F.collect_set("label")).alias("labels"))
-    truths = labels.select(F.explode("labels").alias("truth")).union(counts.select("truth")).distinct()
-    grid = truths.select("truth", F.explode(labels.scalar()).alias("prediction"))
+    labels = counts.select(F.explode(F.array("truth", "prediction")).alias("prediction")).where(F.col("prediction").isNotNull()).distinct()
+    labels = stage(labels, "labels")
+    truths = labels.select(F.col("prediction").alias("truth")).union(counts.where(F.col("truth").isNull()).select("truth")).distinct()
+    grid = every_pair(truths, labels)
     same = F.col("g.truth").eqNullSafe(F.col("c.truth")) & (F.col("g.prediction") == F.col("c.prediction"))
     joined = grid.alias("g").join(counts.alias("c"), same, "left")
     return joined.select("g.truth", "g.prediction", F.coalesce("c.n", F.lit(0).cast("long")).alias("n"))

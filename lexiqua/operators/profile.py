@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.joins import class_values, lookup_join, top_k
+from ..plans.joins import class_values, every_pair, lookup_join, top_k
 from ..plans.ordering import exact_quantiles
 from ..plans.staging import stage
 
@@ -68,14 +68,12 @@ def category_distribution(df: DataFrame, class_col: str, category_col: str) -> D
     counts = stage(
         df.groupBy(F.col(category_col).alias("category"), F.col(class_col).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n")), "cells"
     )
-    classes = counts.agg(F.collect_set("class").alias("classes"))
-    # one row per class that the category has
-    mine = counts.groupBy("category").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "n")))).alias("found"), F.sum("n").alias("total")
-    )
-    cells = F.transform("classes", lambda c: F.struct(c.alias("class"), F.coalesce(F.try_element_at("found", c), F.lit(0).cast("long")).alias("n")))
-    every = F.array_append(cells, F.struct(F.lit(ALL).alias("class"), F.col("total").alias("n")))
-    return mine.withColumn("classes", classes.scalar()).select("category", F.inline(every))
+    categories = counts.select("category").distinct()
+    classes = stage(counts.where(F.col("class").isNotNull()).select("class").distinct(), "classes")
+    same = F.col("g.category").eqNullSafe(F.col("c.category")) & (F.col("g.class") == F.col("c.class"))
+    cells = every_pair(categories, classes).alias("g").join(counts.alias("c"), same, "left")
+    cells = cells.select("g.category", "g.class", F.coalesce("c.n", F.lit(0).cast("long")).alias("n"))
+    return cells.unionByName(counts.groupBy("category").agg(F.lit(ALL).alias("class"), F.sum("n").alias("n")))
 
 
 def bin_index(x: Column, low: Column, high: Column, bins: int) -> Column:

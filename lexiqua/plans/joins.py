@@ -62,6 +62,15 @@ def lookup_join(
     """
     if fits_broadcast(dim, limit):
         return fact.join(F.broadcast(dim), on, how)
+    taken = {c.lower() for c in (*fact.columns, *dim.columns)}
+    if taken & {"_facts", "_parts", "_salt"}:
+        # helper columns must not clash with those of the tables
+        renamed = {c: f"__{i}" for i, c in enumerate(dict.fromkeys([*fact.columns, *dim.columns]))}
+        back = {v: k for k, v in renamed.items()}
+        joined = lookup_join(
+            fact.withColumnsRenamed(renamed), dim.withColumnsRenamed(renamed), [renamed[c] for c in on], [renamed[c] for c in salt_by], how, limit, hot
+        )
+        return joined.withColumnsRenamed(back)
     counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_facts")).where(F.col("_facts") > hot)
     parts = small_side(stage(counts.select(*on, F.ceil(F.col("_facts") / hot).cast("int").alias("_parts")), "hot"))
     # facts with a NULL key meet no row of dim; they are spread as well
@@ -112,6 +121,17 @@ def numbered_copies(df: DataFrame, n: str, index: str, chunk: int = 10_000) -> D
     )
 
 
+def every_pair(left: DataFrame, right: DataFrame, block: int = 1000) -> DataFrame:
+    """Every row of ``left`` with every row of ``right`` (both distinct), for results that are such a grid.
+
+    ``right`` is dealt into blocks of about ``block`` rows by hash, and each row of ``left`` meets
+    every block by an ordinary join; neither side is collected.
+    """
+    blocks = -(-right.count() // block)
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(max(blocks, 1))).cast("int"))
+    return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).join(dealt, "_block").drop("_block")
+
+
 def class_values(df: DataFrame, column: str, limit: int = 1000) -> list:
     """The distinct non-NULL values of a class column, sorted; refuses more than ``limit``."""
     rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
