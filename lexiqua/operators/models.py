@@ -416,11 +416,17 @@ def pca_projection(df: DataFrame, keep: list[str], columns: list[str], n: int =
     return projected.select(*keep, *[parts[i].alias(f"PC{i + 1}") for i in range(n)])
 
 
-def word_neighbours(df: DataFrame, tokens_col: str, dims: int = 32, min_count: int = 5, seed: int = 42) -> DataFrame:
-    """(token, neighbour): closest other word by Word2Vec cosine, for the augmentation."""
-    # one training task per input partition: each sweeps its own rows and the vectors are averaged
-    parts = max(1, df.rdd.getNumPartitions())
-    model = Word2Vec(inputCol=tokens_col, outputCol="v", vectorSize=dims, minCount=min_count, seed=seed, numPartitions=parts).fit(df)
+def word_neighbours(df: DataFrame, tokens_col: str, dims: int = 32, min_count: int = 5, seed: int = 42, parts: int = 4) -> DataFrame:
+    """(token, neighbour): closest other word by Word2Vec cosine, for the augmentation.
+
+    ``parts`` tasks sweep a share of the rows each and their vectors are averaged, ``parts`` times
+    over.  Their number and the rows of each come from the parameter and hashes of the rows, not from
+    the table's partitions; the order in which a share's rows arrive is Spark's, so vectors can
+    differ in their last digits from run to run.
+    """
+    order = F.xxhash64(tokens_col)
+    dealt = df.select(tokens_col).repartition(parts, order).sortWithinPartitions(order, F.col(tokens_col))
+    model = Word2Vec(inputCol=tokens_col, outputCol="v", vectorSize=dims, minCount=min_count, seed=seed, numPartitions=parts, maxIter=parts).fit(dealt)
     v = vector_to_array("vector")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     vectors = model.getVectors().select("word", F.lit(0).alias("g"), v.alias("v"), norm.alias("n")).where(F.col("n") > 0)

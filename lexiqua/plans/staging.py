@@ -7,6 +7,7 @@ cached block or a local checkpoint does not.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 def staging_root(spark: SparkSession) -> str:
     """Folder of this application below ``spark.checkpoint.dir``, or, where that is unset, below
-    the warehouse, which driver and executors share as well."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    the warehouse.  A warehouse on a machine's own disk is refused on a cluster, as executors would
+    not find each other's files there."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+        check_shared(root, spark.sparkContext.master)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def check_shared(root: str, master: str) -> None:
+    """Raise if ``root`` is local to a machine and ``master`` is a cluster's."""
+    if not master.startswith("local") and re.match(r"file:|/", root):
+        raise ValueError(f"{root} is a folder of one machine; set spark.checkpoint.dir to one that all executors share")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path nothing has been written to yet."""
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

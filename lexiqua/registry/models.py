@@ -133,6 +133,13 @@ def tree_grid_search(spark, sf_dir):
     return spark.createDataFrame(rows, "max_depth int, min_rows int, accuracy double, best boolean")
 
 
+@query("tree_grid_winner")
+def tree_grid_winner(spark, sf_dir):
+    """Metrics of the winning candidate, fitted on all training rows, on train and test."""
+    t, _, _, search = _tree_grid(spark, sf_dir)
+    return M.metrics_table(stage(M.scored(search.bestModel, t.table, len(t.classes)), "predictions"), t)
+
+
 @query("tree_grid_search_audit", _sql_audit(_TEXT, "stratified", ", 6 AS candidates"))
 def tree_grid_search_audit(spark, sf_dir):
     t, _, _, search = _tree_grid(spark, sf_dir)

@@ -141,3 +141,12 @@ def test_topics_of_empty_rows(spark):
     got = {r["id"]: (r["topic"], r["share"]) for r in topics.dominant().collect()}
     assert got[40] == got[41] == (0, 0.5) and len(got) == 42
     assert topics.terms(3).count() == 6
+
+
+def test_word_neighbours_are_stable_over_partitions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"{'abc'[i % 3]}{w}" for w in rng.integers(0, 5, 30)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    for dealt in (df.coalesce(1), df.repartition(5), df.repartition(40, "id")):
+        found = M.word_neighbours(dealt, "t", dims=8).collect()
+        assert len(found) == 15 and all(r["token"][0] == r["neighbour"][0] for r in found)

@@ -158,3 +158,13 @@ def test_width_counts_nested_values(spark):
     bytes_ = 100 + 50 + 30 + 1
     assert not joins.fits_broadcast(df, bytes_) and joins.fits_broadcast(df, bytes_ + 500)
     assert not joins.fits_broadcast(spark.range(1000).select(F.array(F.repeat(F.lit("x"), F.lit(1000))).alias("a")), 1_000_000)
+
+
+def test_a_local_folder_is_refused_on_a_cluster():
+    from lexiqua.plans.staging import check_shared
+
+    for master, root in (("local[8]", "file:/tmp/w"), ("yarn", "hdfs://n/w"), ("spark://n:7077", "s3a://b/w")):
+        check_shared(root, master)
+    for root in ("file:/tmp/w", "file:///tmp/w", "/tmp/w"):
+        with pytest.raises(ValueError):
+            check_shared(root, "spark://n:7077")
