@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +144,12 @@ def top_edges(edges: DataFrame, k: int = 50, directed: bool = True) -> DataFrame
     return top.select(F.least("token", "context").alias("a"), F.greatest("token", "context").alias("b"), "n").distinct()
 
 
+def closest_neighbours(edges: DataFrame, k: int) -> DataFrame:
+    """(token, neighbour): the ``k`` most frequent contexts of every token (ties: first in order)."""
+    named = edges.withColumnRenamed("context", "neighbour")
+    return top_k(named, ["token"], [F.col("n").desc(), F.col("neighbour").asc()], k).select("token", "neighbour")
+
+
 def top_neighbours(edges: DataFrame) -> DataFrame:
     """Most frequent context of every token (ties: first in order)."""
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("context").alias("neighbour")))
@@ -351,6 +359,59 @@ def augment_minorities(
     Each missing row copies a hash-chosen source row of its class (with replacement) and replaces
     about ``share`` percent of its tokens by their closest neighbour; copies without text drop out.
     """
+    found = stage(neighbours, "neighbours")
+    return _augmented(df, id_col, tokens_col, class_col, lambda words: lookup_join(words, found, ["token"], salt_by=["source_id", "i"], how="left"), seed, share)
+
+
+def augment_in_context(
+    df: DataFrame, id_col: str, tokens_col: str, class_col: str, candidates: DataFrame, seed: int = 12345, share: int = 30
+) -> DataFrame:
+    """Like ``augment_minorities``, but of the ``candidates`` (token, neighbour) of a word the one that fits
+    best between the words on its left and right, by a back-off model of the rows' own bigrams."""
+    rows = stage(df.select(id_col, class_col, tokens_col), "rows")
+    single = stage(term_counts(rows, tokens_col), "unigrams")
+    total = single.agg(F.sum("n").alias("n")).first()["n"] or 1
+    last = F.greatest(F.size(tokens_col) - 1, F.lit(0))
+    follow = F.arrays_zip(F.slice(tokens_col, F.lit(1), last).alias("x"), F.slice(tokens_col, F.lit(2), last).alias("y"))
+    pairs = stage(rows.select(F.inline(follow)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+    listed = candidates.groupBy("token").agg(F.collect_list("neighbour").alias("others"))
+    listed = stage(listed, "candidates")
+
+    def fitted(words: DataFrame) -> DataFrame:
+        words = stage(words, "words")
+        return lookup_join(words, stage(_fitting(words, listed, single, pairs, total), "fitting"), ["left", "token", "right"], salt_by=["source_id", "i"], how="left")
+
+    return _augmented(rows, id_col, tokens_col, class_col, fitted, seed, share)
+
+
+#: What a bigram that never occurs keeps of its last word's share (Brants et al. 2007), and the mark of a text's ends.
+BACK_OFF, EDGE = 0.4, ""
+
+
+def _fitting(words: DataFrame, listed: DataFrame, single: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
+    """(left, token, right, neighbour): the best candidate of every distinct context, ties by word.
+
+    A candidate's score is its share after the left word times the right word's share after it.
+    """
+    contexts = stage(words.select("left", "token", "right").distinct(), "contexts")
+    each = lookup_join(contexts, listed, ["token"], salt_by=["left", "right"]).select("left", "token", "right", F.explode("others").alias("other"))
+    counts = [single.select(F.col("term").alias(c), F.col("n").alias(f"n_{c}")) for c in ("left", "other", "right")]
+    after = pairs.select(F.col("x").alias("left"), F.col("y").alias("other"), F.col("n").alias("n_before"))
+    before = pairs.select(F.col("x").alias("other"), F.col("y").alias("right"), F.col("n").alias("n_after"))
+    salt = ["left", "other", "right"]
+    for table, on in ((counts[0], ["left"]), (counts[1], ["other"]), (counts[2], ["right"]), (after, ["left", "other"]), (before, ["other", "right"])):
+        each = lookup_join(each, table, on, salt_by=salt, how="left")
+    alone = F.col("n_other") / F.lit(float(total))
+    left = F.when(F.col("left") == EDGE, alone).otherwise(F.coalesce(F.col("n_before") / F.col("n_left"), BACK_OFF * alone))
+    right = F.when(F.col("right") == EDGE, F.lit(1.0)).otherwise(F.coalesce(F.col("n_after") / F.col("n_other"), BACK_OFF * (F.col("n_right") / F.lit(float(total)))))
+    best = F.min(F.struct((-(left * right)).alias("score"), "other"))
+    return each.groupBy("left", "token", "right").agg(best["other"].alias("neighbour"))
+
+
+def _augmented(
+    df: DataFrame, id_col: str, tokens_col: str, class_col: str, replace: Callable[[DataFrame], DataFrame], seed: int, share: int
+) -> DataFrame:
+    """The copies; ``replace`` adds ``neighbour`` to words (source_id, i, token, left, right)."""
     deficits = stage(class_deficits(df, class_col), "deficits")
     copies = numbered_copies(deficits.select(class_col, "n", "deficit"), "deficit", "copy")
     picks = copies.select(
@@ -362,8 +423,10 @@ def augment_minorities(
     chosen = stage(lookup_join(picks, stage(sources, "sources"), [class_col, "_pos"], salt_by=["copy"]).drop("_pos"), "chosen")
     # every source text meets the neighbours once, however many copies it has; one group is one text
     used = df.select(F.col(id_col).alias("source_id"), tokens_col).join(chosen.select("source_id").distinct(), "source_id", "left_semi")
-    words = used.select("source_id", F.posexplode(tokens_col).alias("i", "token"))
-    paired = lookup_join(words, stage(neighbours, "neighbours"), ["token"], salt_by=["source_id", "i"], how="left")
+    tokens = F.col(tokens_col)
+    beside = lambda i, d: F.coalesce(F.get(tokens, i + d), F.lit(EDGE))
+    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("token"), beside(i, -1).alias("left"), beside(i, 1).alias("right")))
+    paired = replace(used.select("source_id", F.inline(placed)))
     texts = paired.groupBy("source_id").agg(
         F.array_sort(F.collect_list(F.struct("i", "token", F.coalesce("neighbour", "token").alias("other")))).alias("_words")
     )

@@ -239,3 +239,27 @@ def augmented_balanced(spark, sf_dir):
     t = stage(tokenized(spark, sf_dir, "lang"), "tokens")
     neighbours = corpus.top_neighbours(corpus.cooccurrence(t, "tokens", 2))
     return corpus.balanced_corpus(t, "doc_id", "tokens", "lang", neighbours)
+
+
+@query(
+    "augmented_in_context",
+    f"""WITH {_SQL_EDGES},
+cand AS (SELECT token, context AS c FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, context) AS r FROM edge) WHERE r <= 5),
+uni AS MATERIALIZED (SELECT w, count(*) AS n FROM term GROUP BY w),
+big AS MATERIALIZED (SELECT a.w AS x, b.w AS y, count(*) AS n FROM term a JOIN term b ON b.doc_id = a.doc_id AND b.i = a.i + 1 GROUP BY ALL),
+{SQL_PICKS},
+wd AS MATERIALIZED (SELECT doc_id, i - 1 AS i, w, coalesce(lag(w) OVER d, '') AS l, coalesce(lead(w) OVER d, '') AS r FROM term WHERE doc_id IN (SELECT doc_id FROM pick) WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+sc AS (SELECT x.l, x.w, x.r, c, CASE WHEN x.l = '' THEN uc.n / (SELECT sum(n) FROM uni)::DOUBLE ELSE coalesce(lb.n / ul.n::DOUBLE, 0.4::DOUBLE * (uc.n / (SELECT sum(n) FROM uni)::DOUBLE)) END
+  * CASE WHEN x.r = '' THEN 1.0::DOUBLE ELSE coalesce(rb.n / uc.n::DOUBLE, 0.4::DOUBLE * (ur.n / (SELECT sum(n) FROM uni)::DOUBLE)) END AS s
+  FROM (SELECT DISTINCT l, w, r FROM wd) x JOIN cand ON token = x.w JOIN uni uc ON uc.w = c LEFT JOIN uni ul ON ul.w = x.l LEFT JOIN uni ur ON ur.w = x.r
+  LEFT JOIN big lb ON lb.x = x.l AND lb.y = c LEFT JOIN big rb ON rb.x = c AND rb.y = x.r),
+fit AS (SELECT l, w, r, c FROM (SELECT *, row_number() OVER (PARTITION BY l, w, r ORDER BY s DESC, c) AS k FROM sc) WHERE k = 1),
+sw AS (SELECT p.lang, copy, p.doc_id, i, CASE WHEN {_DICE.replace('lang', 'p.lang')} % 100 < 30 THEN coalesce(c, wd.w) ELSE wd.w END AS w
+  FROM pick p JOIN wd USING (doc_id) LEFT JOIN fit ON fit.l = wd.l AND fit.w = wd.w AND fit.r = wd.r)
+SELECT lang, copy, doc_id AS source_id, string_agg(w, ' ' ORDER BY i) AS text FROM sw GROUP BY ALL""",
+)
+def augmented_in_context(spark, sf_dir):
+    """Copies whose replaced words fit their neighbours, of the five most frequent contexts each."""
+    t = stage(tokenized(spark, sf_dir, "lang"), "tokens")
+    candidates = corpus.closest_neighbours(corpus.cooccurrence(t, "tokens", 2), 5)
+    return corpus.augment_in_context(t, "doc_id", "tokens", "lang", candidates)
