@@ -236,21 +236,19 @@ def tfidf_by_class(
         return rows.select("class", "term", *[(F.round(v, 6) + F.lit(0.0)).alias(n) for n, v in figures.items()])
 
     order = [F.col("score_diff").desc(), F.col("term").asc()]
-    everywhere = top_k(scored(terms.withColumn("class", F.lit("all")), F.col("o")), ["class"], order, k)
-    best = stage(top_k(scored(pairs, F.col("s")), ["class"], order, k), "best")
-    held = best.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("score_diff").alias("least"))
+    rows = scored(pairs, F.col("s")).unionByName(scored(terms.withColumn("class", F.lit("all")), F.col("o")))
+    held = top_k(rows, ["class"], order, k).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("score_diff").alias("least"))
     absent = terms.agg(F.max(F.round(-F.col("o"), 6) + F.lit(0.0)).alias("d")).first()["d"]
     lacking = sizes.select(F.col(class_col).alias("class")).join(held, "class", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("least") <= F.lit(absent)))
     lacking = stage(lacking.select("class"), "lacking")
     if lacking.isEmpty():
-        return best.unionByName(everywhere)
+        return top_k(rows, ["class"], order, k)
     own = stage(lookup_join(pairs.select("class", "term"), lacking, ["class"], salt_by=["term"]), "own")
     reach = lacking.join(own.groupBy("class").agg(F.count(F.lit(1)).alias("m")), "class", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     placed = row_positions(terms.withColumn("d", F.round(-F.col("o"), 6) + F.lit(0.0)), [], [F.col("d").desc(), F.col("term").asc()], "pos")
     tried = stage(reach.select("class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + k - 1)).alias("pos")), "tried")
     missing = lookup_join(tried, stage(placed.select("pos", "term", "o"), "placed"), ["pos"], salt_by=["class"]).join(own, ["class", "term"], "left_anti")
-    both = best.drop("rank").unionByName(scored(missing, F.lit(0.0)))
-    return top_k(both, ["class"], order, k).unionByName(everywhere)
+    return top_k(rows.unionByName(scored(missing, F.lit(0.0))), ["class"], order, k)
 
 
 def vocabulary(
