@@ -168,3 +168,47 @@ def test_a_local_folder_is_refused_on_a_cluster():
     for root in ("file:/tmp/w", "file:///tmp/w", "/tmp/w"):
         with pytest.raises(ValueError):
             check_shared(root, "spark://n:7077")
+
+
+def test_known_counts_split_keys_and_change_no_row(spark):
+    fact = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    dim = stage(spark.createDataFrame([("hot", 1), ("3", 2), ("x", 3)], "k string, v int"))
+    want = joins.lookup_join(fact, dim, ["k"], ["id"]).orderBy("id").collect()
+    for n in (1, 1333, 10**6):
+        known = spark.createDataFrame([("hot", n)], "k string, _facts long")
+        assert joins.lookup_join(fact, dim, ["k"], ["id"], limit=-1, hot=50, counts=known).orderBy("id").collect() == want
+    # helper columns of the same name are renamed, known counts with them
+    clash = joins.lookup_join(fact.withColumn("_salt", F.lit(1)), dim, ["k"], ["id"], limit=-1, hot=50, counts=joins.key_counts(fact, ["k"]))
+    assert clash.drop("_salt").orderBy("id").collect() == want
+
+
+def _tables(calls, monkeypatch, module):
+    """Notes the columns of every ``fact`` that lookups count by themselves."""
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    real = joins.key_counts
+    monkeypatch.setattr(joins, "key_counts", lambda df, on: calls.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, on))
+
+
+@pytest.mark.parametrize("scope", ["corpus", "document"])
+def test_collocations_count_ngrams_once(spark, monkeypatch, scope):
+    """Beside words too many to broadcast, each lookup computed all n-grams once more to find its hot words."""
+    rows = [(i, list("abcabdab") if i % 2 else ["a", "b", "c", "a"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    want = corpus.collocations(df, "id", "t", 3, scope=scope).collect()
+    calls = []
+    _tables(calls, monkeypatch, corpus)
+    found = corpus.collocations(df, "id", "t", 3, scope=scope)
+    assert found.collect() == want and len(want) > 3
+    assert "inline" not in found._jdf.queryExecution().optimizedPlan().toString() and not any("inline" in c for c in calls)
+
+
+def test_tfidf_counts_no_bag_of_words_for_hot_terms(spark, monkeypatch):
+    rows = [(i, "xyz"[i % 3], ["aa", "bb", f"c{i % 5}", "aa"]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, c string, t array<string>")
+    of = lambda d: sorted((*r[:-1], round(r[-1], 9)) for r in d.collect())
+    by_class = lambda: of(corpus.tfidf_by_class(df, "id", "t", "c", 4).drop("rank"))
+    want = of(corpus.tfidf_overall(df, "id", "t")), by_class()
+    calls = []
+    _tables(calls, monkeypatch, corpus)
+    assert (of(corpus.tfidf_overall(df, "id", "t")), by_class()) == want
+    assert not any("explode(t" in c for c in calls)
