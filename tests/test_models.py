@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
@@ -150,3 +152,28 @@ def test_word_neighbours_are_stable_over_partitions(spark):
     for dealt in (df.coalesce(1), df.repartition(5), df.repartition(40, "id")):
         found = M.word_neighbours(dealt, "t", dims=8).collect()
         assert len(found) == 15 and all(r["token"][0] == r["neighbour"][0] for r in found)
+
+
+def test_many_weights_are_fitted_one_after_the_other(blobs, monkeypatch):
+    """Solvers keep their vectors on the driver; as many as there are candidates ran side by side before."""
+    running, most, lock = [], [], threading.Lock()
+
+    class Counted(LogisticRegression):
+        def fit(self, *a, **k):
+            with lock:
+                running.append(1)
+                most.append(len(running))
+            try:
+                return super().fit(*a, **k)
+            finally:
+                with lock:
+                    running.pop()
+
+    t = M.training_table(blobs, "id", "c", ["x", "y"], "three_way")
+    monkeypatch.setattr(M, "FIT_BYTES", 2 * 3 * 8 * M.FIT_VECTORS)
+    candidates = {str(r): Counted(regParam=r, maxIter=5) for r in (0.01, 0.1, 1.0)}
+    _, alone = M.choose_by_validation(t, candidates)
+    assert max(most) == 1 and len(most) == 3
+    monkeypatch.undo()
+    _, together = M.choose_by_validation(t, candidates)
+    assert alone.collect() == together.collect()
