@@ -212,3 +212,36 @@ def test_tfidf_counts_no_bag_of_words_for_hot_terms(spark, monkeypatch):
     _tables(calls, monkeypatch, corpus)
     assert (of(corpus.tfidf_overall(df, "id", "t")), by_class()) == want
     assert not any("explode(t" in c for c in calls)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_in_many_dimensions_over_short_chunks(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "LONG_CHUNK", 24)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(160, 12)).astype(np.float32).astype(np.float64) + 1000  # far from the origin
+    v[100:120] = v[100]
+    names = [f"w{i:03d}" for i in range(160)]
+    df = spark.createDataFrame([("x", n, row.tolist()) for n, row in zip(names, v)], f"g string, i string, v array<{kind}>")
+    v = np.array([r["v"] for r in df.orderBy("i").collect()])
+    got = neighbours.nearest_in_group(df, df, "g", "i", "v", 3).toPandas()
+    for i, name in enumerate(names):
+        d = [(round(float(np.linalg.norm(v[i] - v[j])), 9), names[j]) for j in range(160) if j != i]
+        mine = got[got["i"] == name].sort_values("rank")
+        assert list(zip(mine["distance"].round(9), mine["neighbour_id"])) == sorted(d)[:3]
+
+
+def test_a_vector_travels_to_a_first_pivot_once(spark, monkeypatch):
+    seen, visit = [], neighbours._visit
+
+    def counted(visits, *rest):
+        seen.append((visits.count(), visits.select("_cell").distinct().count()))
+        return visit(visits, *rest)
+
+    monkeypatch.setattr(neighbours, "_visit", counted)
+    v = np.random.default_rng(6).normal(size=(600, 16))
+    df = spark.createDataFrame([("x", i, row.tolist()) for i, row in enumerate(v)], "g string, i long, v array<double>")
+    neighbours.nearest_in_group(df, df, "g", "i", "v", 5)
+    (own, cells), (rows, pivots) = seen
+    # without structure no cell can be closed, and there are the square root of 600 of them
+    assert own == 600 and pivots < cells and rows <= 600 * pivots
