@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, hash_number
-from ..plans.joins import class_values, key_counts, lookup_join, numbered_copies, small_side, token_lookup, top_k
+from ..plans.joins import class_values, fits_broadcast, key_counts, lookup_join, numbered_copies, small_side, token_lookup, top_k
 from ..plans.ordering import row_positions
 from ..plans.staging import stage
 from .profile import class_deficits
@@ -62,32 +63,61 @@ def border_ngrams(df: DataFrame, id_col: str, tokens_col: str, n: int, group: li
 
 
 def ngram_counts(
-    df: DataFrame, id_col: str, tokens_col: str, n: int, group: list[str] = (), scope: str = "corpus"
+    df: DataFrame, id_col: str, tokens_col: str, n: int, group: list[str] = (), scope: str = "corpus", words: DataFrame | None = None
 ) -> DataFrame:
     """(group, w1..wn, n).  ``corpus`` joins all rows of a group into one token stream, so n-grams
-    also cross row borders; ``document`` keeps them inside rows."""
+    also cross row borders; ``document`` keeps them inside rows.  With ``words`` (group, w1), a small
+    table, only n-grams made of these are counted."""
     group = list(group)
     inner = df.select(*group, F.inline(_zipped(F.col(tokens_col), n)))
     if scope == "corpus" and n > 1:
         inner = inner.unionByName(border_ngrams(df, id_col, tokens_col, n, group))
     elif scope not in ("corpus", "document"):
         raise ValueError("scope must be 'corpus' or 'document'")
+    for i in range(n if words is not None else 0):
+        known = words.select(*[F.col(g).alias(f"_{j}") for j, g in enumerate(group)], F.col("w1").alias("_w"))
+        same = [F.col(g).eqNullSafe(F.col(f"_{j}")) for j, g in enumerate(group)]
+        inner = inner.join(F.broadcast(known), reduce(lambda a, b: a & b, same, F.col(f"w{i + 1}").eqNullSafe(F.col("_w"))), "left_semi")
     return inner.groupBy(*group, *[f"w{i + 1}" for i in range(n)]).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The most frequent words of a class, whose n-grams say how frequent the k-th n-gram is at least.
+HEADS = 64
+
+
 def top_ngrams_by_class(
     df: DataFrame, id_col: str, tokens_col: str, class_col: str, sizes: list[int], k: int = 20, scope: str = "corpus"
 ) -> DataFrame:
-    """Most frequent n-grams per class and size; each class is one token stream in id order."""
+    """Most frequent n-grams per class and size; each class is one token stream in id order.
+
+    After Agrawal & Srikant 1994: no n-gram is more frequent than its rarest word.  Those of a class's
+    most frequent words are counted first; the k-th of them bounds what the class's k best reach, and
+    words below that bound cannot be part of these.  Where too many words are left, all count.
+    """
+    singles = stage(ngram_counts(df, id_col, tokens_col, 1, [class_col]), "singles")
+    heads = stage(top_k(singles, [class_col], [F.col("n").desc(), F.col("w1").asc()], HEADS), "heads")
     parts = None
     for size in sizes:
-        counts = ngram_counts(df, id_col, tokens_col, size, [class_col], scope)
-        words = F.concat_ws(" ", *[f"w{i + 1}" for i in range(size)])
-        part = counts.select(class_col, F.lit(size).alias("size"), words.alias("ngram"), "n")
+        names = [f"w{i + 1}" for i in range(size)]
+        kept = _able_words(df, id_col, tokens_col, class_col, size, k, singles, heads) if size > 1 else None
+        counts = singles if size == 1 else ngram_counts(df, id_col, tokens_col, size, [class_col], scope, kept)
+        part = counts.select(class_col, F.lit(size).alias("size"), F.concat_ws(" ", *names).alias("ngram"), "n")
         parts = part if parts is None else parts.unionByName(part)
     return top_k(parts, [class_col, "size"], [F.col("n").desc(), F.col("ngram").asc()], k)
 
 
+def _able_words(df: DataFrame, id_col: str, tokens_col: str, class_col: str, size: int, k: int, singles: DataFrame, heads: DataFrame) -> DataFrame | None:
+    """(class, w1): the words frequent enough for the ``k`` best n-grams; None if they are too many."""
+    if not fits_broadcast(heads):
+        return None
+    sure = ngram_counts(df, id_col, tokens_col, size, [class_col], "document", heads)
+    best = top_k(sure, [class_col], [F.col("n").desc(), *[F.col(f"w{i + 1}").asc() for i in range(size)]], k)
+    least = best.groupBy(F.col(class_col).alias("_class")).agg(F.when(F.count(F.lit(1)) >= k, F.min("n")).alias("_least"))
+    bounded = singles.join(small_side(stage(least, "least")), F.col(class_col).eqNullSafe(F.col("_class")), "left")
+    kept = stage(bounded.where(F.col("n") >= F.coalesce("_least", F.lit(1))).select(class_col, "w1"), "able")
+    return kept if fits_broadcast(kept) else None
+
+
 def collocations(
     df: DataFrame, id_col: str, tokens_col: str, size: int, k: int = 20, min_frequency: int = 3, scope: str = "corpus"
 ) -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -245,3 +247,33 @@ def test_a_vector_travels_to_a_first_pivot_once(spark, monkeypatch):
     (own, cells), (rows, pivots) = seen
     # without structure no cell can be closed, and there are the square root of 600 of them
     assert own == 600 and pivots < cells and rows <= 600 * pivots
+
+
+@pytest.mark.parametrize("heads", [2, 64])
+def test_top_ngrams_are_counted_of_able_words_only(spark, monkeypatch, heads):
+    monkeypatch.setattr(corpus, "HEADS", heads)
+    rng = np.random.default_rng(8)
+    common = [["of", "the", "old", "house"][: rng.integers(2, 5)] for _ in range(60)]
+    docs = [c + [f"w{i}a", f"w{i}b", f"w{i}c"] for i, c in enumerate(common)]
+    langs = [["en", "de", None][i % 3] for i in range(60)]
+    df = spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(zip(langs, docs))], "id long, c string, t array<string>")
+    counted, plain = [], corpus.ngram_counts
+
+    def noted(*args, **named):
+        out = plain(*args, **named)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(corpus, "ngram_counts", noted)
+    got = {(r["c"], r["size"], r["rank"]): (r["ngram"], r["n"]) for r in corpus.top_ngrams_by_class(df, "id", "t", "c", [1, 2, 3], 2).collect()}
+    want = {}
+    for c in {*langs}:
+        stream = [w for d, x in zip(docs, langs) if x == c for w in d]
+        for n in (1, 2, 3):
+            found = Counter(" ".join(stream[i : i + n]) for i in range(len(stream) - n + 1))
+            for rank, (gram, m) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:2], 1):
+                want[c, n, rank] = (gram, m)
+    assert got == want
+    if heads == 64:
+        # after the single words and the first words' n-grams: of some 60 a class, those of common words only
+        assert len(counted) == 5 and max(counted[2::2]) < 20
