@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,14 @@ def test_importance_rollup(spark):
     total = {r["feature"]: r["importance"] for r in features.importance_rollup(df, ["color", "size", "none"]).collect()}
     mean = {r["feature"]: r["importance"] for r in features.importance_rollup(df, ["color", "size", "none"], "average").collect()}
     assert total == {"color": 3.0, "size": 1.0, "none": 0.0} and mean == {"color": 1.5, "size": 1.0, "none": None}
+
+
+def test_hash_numbers_are_those_of_the_expression(spark):
+    from lexiqua.functions.numeric import hash_number, hash_numbers
+
+    starts = ["12345|en|0|", "12345|é|98765|", "|", "x" * 52 + "|", "y" * 70 + "|"]
+    places = [0, 9, 10, 99, 100, 12345, 10**6]
+    rows = [(s[:-1], i) for s in starts for i in places]
+    want = [r[0] for r in spark.createDataFrame(rows, "s string, i long").select(hash_number(F.col("s"), F.col("i"))).collect()]
+    assert hash_numbers(starts, np.full(len(starts), len(places)), np.array(places * len(starts))).tolist() == want
+    assert hash_numbers([], np.empty(0, int), np.empty(0, int)).tolist() == []
