@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -145,27 +145,84 @@ def collocations(
 
 # ---------------------------------------------------------------- co-occurrence
 
-def cooccurrence_pairs(df: DataFrame, tokens_col: str, window: int = 2) -> DataFrame:
-    """Unordered neighbour pairs (a < b, n) at most ``window`` apart inside a row; equal words skipped."""
-    words = F.col(tokens_col)
-    shifted = []
+def cooccurrence_pairs(df: DataFrame, tokens_col: str, window: int = 2, among: list[str] | None = None) -> DataFrame:
+    """Unordered neighbour pairs (a < b, n) at most ``window`` apart inside a row; equal words skipped.
+    With ``among``, a short list, only pairs of its words are counted.
+
+    Pairs are counted by the numbers of their words within ``PAIRED`` words of an Arrow batch first."""
+    known = None if among is None else pa.array(among, pa.string())
+    counted = df.select(tokens_col).mapInArrow(lambda batches: (_pair_counts(part, window, known) for b in batches for part in _lists(b.column(0))), "x string, y string, n long")
+    return counted.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias("n"))
+
+
+#: Words whose pairs are held at a time; a longer row is a part of its own.
+PAIRED = 1_000_000
+
+
+def _lists(rows: pa.Array) -> Iterator[pa.Array]:
+    """The rows of a list column in parts of about ``PAIRED`` elements."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy())
+    at = 0
+    while at < len(rows):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + PAIRED, "right")))
+        yield rows.slice(at, end - at)
+        at = end
+
+
+def _pair_counts(rows: pa.Array, window: int, among: pa.Array | None) -> pa.RecordBatch:
+    """(x, y, n): the pairs of different words of these rows, in one of their two orders."""
+    owner = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows), 0).to_numpy())
+    coded = rows.flatten().dictionary_encode()
+    names = coded.dictionary
+    code = pc.fill_null(coded.indices, -1).to_numpy().astype(np.int64)
+    if among is not None and len(names):
+        inside = pc.is_in(names, value_set=among.cast(names.type)).to_numpy(zero_copy_only=False)
+        code[~inside[code]] = -1
+    found = [np.empty(0, np.int64)]
     for d in range(1, window + 1):
-        count = F.greatest(F.size(words) - d, F.lit(0))
-        shifted.append(F.arrays_zip(F.slice(words, 1, count).alias("x"), F.slice(words, d + 1, count).alias("y")))
-    pairs = df.select(F.inline(F.flatten(F.array(*shifted)))).where(F.col("x") != F.col("y"))
-    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+        x, y = code[:-d], code[d:]
+        real = np.flatnonzero((owner[:-d] == owner[d:]) & (x != y) & (x >= 0) & (y >= 0))
+        x, y = x[real], y[real]
+        found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+    pairs, n = np.unique(np.concatenate(found), return_counts=True)
+    x, y = np.divmod(pairs, max(len(names), 1))
+    ends = [names.take(pa.array(v)).cast(pa.string()) for v in (x, y)]
+    return pa.RecordBatch.from_arrays([*ends, pa.array(n, pa.int64())], names=["x", "y", "n"])
 
 
-def cooccurrence(df: DataFrame, tokens_col: str, window: int = 2) -> DataFrame:
+def cooccurrence(df: DataFrame, tokens_col: str, window: int = 2, best: int | None = None) -> DataFrame:
     """Directed edges (token, context, n).  Every pair counts the same in both directions, so the
-    shuffle carries it once and the mirror edge is added afterwards."""
+    shuffle carries it once and the mirror edge is added afterwards.  With ``best`` edges that cannot be
+    among so many heaviest may be missing; ``df``, best a staged table, is then read three times."""
+    among = None if best is None else _linked_words(df, tokens_col, window, best)
     both = F.array(
         F.struct(F.col("a").alias("token"), F.col("b").alias("context")),
         F.struct(F.col("b").alias("token"), F.col("a").alias("context")),
     )
-    return cooccurrence_pairs(df, tokens_col, window).select(F.inline(both), "n").select("token", "context", "n")
+    return cooccurrence_pairs(df, tokens_col, window, among).select(F.inline(both), "n").select("token", "context", "n")
+
+
+#: As many words as a filter of tokens lists at most.
+LISTED = 10_000
+
+
+def _linked_words(df: DataFrame, tokens_col: str, window: int, best: int) -> list[str] | None:
+    """The words frequent enough for the ``best`` heaviest edges; None if they are too many to list.
+
+    As in ``top_ngrams_by_class``: the edges of the most frequent words say what the last of the best
+    weighs at least.  An occurrence of a word has 2 * ``window`` places beside it, so no edge weighs
+    more than so many times its rarer word.
+    """
+    terms = stage(term_counts(df, tokens_col).where(F.col("term").isNotNull()), "terms")
+    heads = [r["term"] for r in terms.orderBy(F.col("n").desc(), F.col("term").asc()).limit(HEADS).collect()]
+    # a pair is two edges of the same weight
+    pairs = cooccurrence_pairs(df, tokens_col, window, heads).orderBy(F.col("n").desc()).limit(-(-best // 2))
+    found = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.min("n").alias("least")).first()
+    if 2 * found["pairs"] < best:
+        return None
+    able = terms.where(2 * window * F.col("n") >= F.lit(found["least"])).select("term").limit(LISTED + 1).collect()
+    return [r["term"] for r in able] if len(able) <= LISTED else None
 
 
 def top_edges(edges: DataFrame, k: int = 50, directed: bool = True) -> DataFrame:

@@ -113,7 +113,8 @@ def cooccurrence(spark, sf_dir):
 
 @query("top_edges", f"WITH {_SQL_EDGES} SELECT * FROM edge ORDER BY n DESC, token, context LIMIT 50")
 def top_edges(spark, sf_dir):
-    return corpus.top_edges(corpus.cooccurrence(tokenized(spark, sf_dir), "tokens", 2), 50)
+    t = stage(tokenized(spark, sf_dir), "tokens")
+    return corpus.top_edges(corpus.cooccurrence(t, "tokens", 2, best=50), 50)
 
 
 @query(
@@ -122,7 +123,8 @@ def top_edges(spark, sf_dir):
 SELECT DISTINCT least(token, context) AS a, greatest(token, context) AS b, n FROM t""",
 )
 def top_edges_undirected(spark, sf_dir):
-    return corpus.top_edges(corpus.cooccurrence(tokenized(spark, sf_dir), "tokens", 2), 50, directed=False)
+    t = stage(tokenized(spark, sf_dir), "tokens")
+    return corpus.top_edges(corpus.cooccurrence(t, "tokens", 2, best=50), 50, directed=False)
 
 
 # ---------------------------------------------------------------- TF-IDF

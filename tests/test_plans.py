@@ -277,3 +277,26 @@ def test_top_ngrams_are_counted_of_able_words_only(spark, monkeypatch, heads):
     if heads == 64:
         # after the single words and the first words' n-grams: of some 60 a class, those of common words only
         assert len(counted) == 5 and max(counted[2::2]) < 20
+
+
+def test_heaviest_edges_are_counted_without_all_the_others(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    rows = [[None if w == 7 else f"w{w}" for w in rng.zipf(1.5, int(n)) if w < 400] for n in rng.integers(0, 60, 200)] + [None]
+    df = spark.createDataFrame([(r,) for r in rows], "t array<string>")
+    want = {}
+    for row in rows:
+        for i, a in enumerate(row or []):
+            for b in row[i + 1 : i + 3]:
+                if a != b and a is not None and b is not None:
+                    for edge in ((a, b), (b, a)):
+                        want[edge] = want.get(edge, 0) + 1
+    monkeypatch.setattr(corpus, "PAIRED", 500)
+    every = corpus.cooccurrence(df, "t", 2)
+    assert {(r["token"], r["context"]): r["n"] for r in every.collect()} == want
+    heaviest = sorted(want.items(), key=lambda e: (-e[1], e[0]))[:20]
+    few = corpus.cooccurrence(df, "t", 2, best=20)
+    assert [((r["token"], r["context"]), r["n"]) for r in corpus.top_edges(few, 20).collect()] == heaviest
+    assert few.count() < len(want) / 4
+    # more than the edges of the most frequent words can bound, or than there are: all are counted
+    monkeypatch.setattr(corpus, "HEADS", 2)
+    assert corpus.cooccurrence(df, "t", 2, best=20).count() == len(want)
