@@ -19,10 +19,15 @@ p AS MATERIALIZED (SELECT doc_id, y, scores, ['de', 'en', 'es', 'fr'][list_posit
 
 
 def language_scores(spark, sf_dir):
-    """(doc_id, y, scores, p): share of each language's marker letters; the largest share wins."""
+    """(doc_id, y, scores, p): share of each language's marker letters; the largest share wins.
+
+    An empty text has shares of NaN, 0/0 in the SQL, and so the first class.
+    """
     d = documents(spark, sf_dir)
     size = F.length("text")
-    shares = [F.round((size - F.length(F.replace("text", F.lit(m)))) / size, 9) for m in MARKS.values()]
+    shares = [
+        F.when(size == 0, F.lit(float("nan"))).otherwise(F.round((size - F.length(F.replace("text", F.lit(m)))) / size, 9)) for m in MARKS.values()
+    ]
     s = d.select("doc_id", F.col("lang").alias("y"), F.array(*shares).alias("scores"))
     return s.withColumn("p", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), N.argmax(F.col("scores")) + 1))
 
